@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from tidelog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {"op5_exact_dedup": op5_exact_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
