@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from tidelog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
+from tidelog.llm.simhash import op8_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {"op5_exact_dedup": op5_exact_dedup, "op9_quality_rules": op9_quality_rules}
+    return {
+        "op5_exact_dedup": op5_exact_dedup,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
