@@ -54,6 +54,8 @@ def registry(spark: SparkSession, keys: DataFrame, path: str, batches: int = BAT
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # A store reserves megabytes ahead otherwise, whatever it holds.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     files = max(1, -(-len(keys.inputFiles()) // batches))
     stream = session.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/keys")
 
