@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm.chunked_bpe import op4_bpe_round_trip
 from tidelog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tidelog.llm.licenses import op3_license_scan
 from tidelog.llm.packing import op2_pack_sequences
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
 from tidelog.llm.secrets import op10_secret_scan
@@ -13,6 +14,7 @@ from tidelog.llm.simhash import op8_simhash_near_dedup
 def queries() -> dict:
     return {
         "op2_pack_sequences": op2_pack_sequences,
+        "op3_license_scan": op3_license_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
