@@ -9,10 +9,12 @@ from tidelog.llm.packing import op2_pack_sequences
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
 from tidelog.llm.secrets import op10_secret_scan
 from tidelog.llm.simhash import op8_simhash_near_dedup
+from tidelog.llm.warc import OP1_SQL, op1_warc_round_trip
 
 
 def queries() -> dict:
     return {
+        "op1_warc_round_trip": op1_warc_round_trip,
         "op2_pack_sequences": op2_pack_sequences,
         "op3_license_scan": op3_license_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_warc_round_trip": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
