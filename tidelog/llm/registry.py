@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm.chunked_bpe import op4_bpe_round_trip
 from tidelog.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tidelog.llm.html_extract import op6_html_extraction
 from tidelog.llm.licenses import op3_license_scan
 from tidelog.llm.packing import op2_pack_sequences
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_license_scan": op3_license_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_html_extraction": op6_html_extraction,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
