@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidelog.llm.boosting import Boosted
-from tidelog.llm.dom import parse
+from tidelog.llm.dom import features, parse
 from tidelog.llm.html_extract import decode, extract, extract_pages, labelled, model
 
 
@@ -24,6 +24,7 @@ def test_held_out_accuracy(trees):
 
 def test_decoding_is_hierarchical():
     nodes = parse("<div><div>a<div>b<div>c</div></div></div></div>")
+    features(nodes)
     rng = np.random.default_rng(0)
     for _ in range(200):
         inside = decode(nodes, rng.normal(size=len(nodes)) * 3)
