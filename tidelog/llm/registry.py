@@ -10,6 +10,7 @@ from tidelog.llm.packing import op2_pack_sequences
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
 from tidelog.llm.secrets import op10_secret_scan
 from tidelog.llm.simhash import op8_simhash_near_dedup
+from tidelog.llm.suffix_dedup import op7_suffix_dedup
 from tidelog.llm.warc import OP1_SQL, op1_warc_round_trip
 
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_html_extraction": op6_html_extraction,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
