@@ -23,8 +23,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
 #: Distinct pre-tokens and their ids that a task keeps before it starts anew.
-MAX_WORDS = 1 << 20
-MAX_IDS = 1 << 24
+MAX_WORDS = 1 << 19
+MAX_IDS = 1 << 23
+#: Bytes of text that are encoded at once, unless one text is longer.
+PIECE = 1 << 20
 
 
 @cache
@@ -48,21 +50,26 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@cache
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    base = 0x9E3779B97F4A7C15 | 1
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(b)
-        both.append(np.cumprod(out, dtype=np.uint64))
-    return both[0], both[1]
+    """At least the first n powers of an odd base and of its inverse, modulo 2**64. One table serves all callers."""
+    global _powers
+    if len(_powers[0]) < n:
+        base = 0x9E3779B97F4A7C15 | 1
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            out = np.full(n, b, np.uint64)
+            out[0] = 1
+            both.append(np.cumprod(out, dtype=np.uint64))
+        _powers = both[0], both[1]
+    return _powers
 
 
 def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run values[start:end], from prefix sums."""
-    up, down = powers(1 << int(max(len(values), 1)).bit_length())
+    up, down = powers(len(values) + 1)
     mixed = (values.astype(np.uint64) + np.uint64(0x632BE5AB)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -108,9 +115,7 @@ class BatchEncoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self._tokenizer = path, None
         self.special = [t["content"] for t in model["added_tokens"]]
         special = set(self.special)
         byte = byte_of()
@@ -119,6 +124,15 @@ class BatchEncoder:
         self.pieces = {i: w for w, i in words.items()} | {t["id"]: t["content"].encode() for t in model["added_tokens"]}
         self._clear()
 
+    @property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer, loaded when a text needs it."""
+        if self._tokenizer is None:
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.no_truncation()
+            self._tokenizer.no_padding()
+        return self._tokenizer
+
     def _clear(self) -> None:
         self.keys = np.zeros(1 << 16, np.uint64)
         self.slot = np.full(1 << 16, -1, np.int64)

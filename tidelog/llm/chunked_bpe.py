@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import BatchEncoder, encoder
+from tidelog.llm.bpe import PIECE, BatchEncoder, encoder
 from tidelog.llm.common import documents, slices, utf8
 
 #: A chunk has 2**CUT_BITS bytes on average. Its end depends on the SPAN bytes before it.
 CUT_BITS = 9
 SPAN = 32
 #: Ids that a worker keeps (4 bytes each).
-MAX_IDS = 8 << 20
+MAX_IDS = 4 << 20
 
 
 def chunk_ends(data: np.ndarray, ends: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
@@ -199,7 +199,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunker(tokenizer).encode
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", PIECE):
             ids = encode(*utf8(batch.column(1)))
             size = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -227,7 +227,7 @@ def digest_round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, decode = chunker(tokenizer), encoder(tokenizer).decode
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", PIECE):
             data, limits = utf8(batch.column(1))
             ids = chunks.encode(data, limits)
             ends = np.r_[0, np.cumsum([len(x) for x in ids])]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import encoder
+from tidelog.llm.bpe import PIECE, encoder
 from tidelog.llm.common import documents, slices
 
 LENGTH = 1024
@@ -120,7 +120,7 @@ def _counted(docs: DataFrame, doc_id: str, text: str, tokenizer: str, length: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", PIECE):
             ids, ends = encode([x or "" for x in batch.column(1).to_pylist()])
             tokens, crcs, rests = [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
