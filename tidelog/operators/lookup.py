@@ -38,7 +38,7 @@ def index_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def key_index(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
     """The newest place of every key."""
-    where = F.struct(F.col(LSN), *[F.col(p) for p in place])
+    where = F.struct(F.col(LSN), *[F.col(p) for p in place if p != LSN])
     return rows.dropna(subset=keys).groupBy(*keys).agg(F.max(where).alias("at")).select(*keys, *[F.col(f"at.{p}").alias(p) for p in place])
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tidelog.plans import storage, surface, versioned
+from tidelog.plans.base import ORACLES, QUERIES
+
+MODULES = (versioned, surface, storage)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
