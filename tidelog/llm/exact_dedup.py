@@ -81,12 +81,14 @@ def resolve(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     keys = keep(spark, rows.select("__sha", F.col(doc_id).alias("__id"), "__file", "__row"), f"{path}/keys")
     groups = registry(spark, keys, path, batches)
 
-    # Full bytes of every hit against the content at the state's locator; copies are combined before the shuffle.
-    hits = groups.filter("n > 1")
-    content = rows.select("__sha", "__text", "__file", "__row").join(hits, "__sha")
-    at_locator = (F.col("__file") == F.col("best.file")) & (F.col("__row") == F.col("best.row"))
-    texts = content.withColumn("__at", at_locator).groupBy("__sha", "__text").agg(F.max("__at").alias("__at"))
-    other = keep(spark, texts.filter(~F.col("__at")).select("__sha").distinct(), f"{path}/collisions")
+    # Full bytes of every hit: rows of a digest that have the very text at the state's locator are all the state has
+    # counted, unless another text shares the digest. Equal texts are combined before the shuffle, so that only one row of
+    # each in a task is sent; what then meets the state is a count, whether the locator's row is among them, and no text.
+    locator = F.xxhash64("__file", "__row")
+    texts = rows.groupBy("__sha", "__text").agg(F.count("*").alias("same"), F.max(locator).alias("high"), F.min(locator).alias("low"))
+    hits = groups.filter("n > 1").select("__sha", "n", F.xxhash64("best.file", "best.row").alias("at"))
+    differs = (F.col("same") < F.col("n")) | ~F.col("at").between(F.col("low"), F.col("high"))
+    other = keep(spark, texts.drop("__text").join(hits, "__sha").filter(differs).select("__sha").distinct(), f"{path}/collisions")
     found = keys.join(groups, "__sha")
     if not other.isEmpty():
         again = rows.join(other, "__sha", "left_semi").withColumnRenamed(doc_id, "__id").select("__sha", "__text", "__id", "__file", "__row")
