@@ -25,16 +25,14 @@ _NAMES = {T.DecimalType(20, 0): "UInt64"} | {v: k for k, v in reversed(TYPES.ite
 
 def from_json(text: str) -> T.StructType:
     """A schema from either form. Types that no name stands for are an error, never silently strings."""
-    fields = json.loads(text)["fields"]
-    if fields and "type" in fields[0] and (fields[0]["type"] not in TYPES or json.loads(text).get("type") == "struct"):
-        try:
-            return T.StructType.fromJson({"type": "struct", "fields": [{"metadata": {}, "nullable": True} | f for f in fields]})
-        except Exception as error:
-            raise ValueError(f"unknown type in {text}") from error
+    whole = json.loads(text)
+    fields = whole["fields"]
     try:
+        if whole.get("type") == "struct":
+            return T.StructType.fromJson({"type": "struct", "fields": [{"metadata": {}, "nullable": True} | f for f in fields]})
         return T.StructType([T.StructField(f["name"], TYPES[f["type"]], f.get("nullable", True)) for f in fields])
-    except KeyError as error:
-        raise ValueError(f"unknown type {error}") from error
+    except Exception as error:
+        raise ValueError(f"unknown type in {text}") from error
 
 
 def to_json(schema: T.StructType) -> str:
