@@ -75,24 +75,44 @@ def test_rows_as_brute_force(spark, tmp_path, seed):
     assert sorted(map(tuple, S.suffix_dedup(spark, docs).collect())) == brute(rows)
 
 
-def test_blocks_and_flushes(spark, monkeypatch):
+@pytest.mark.parametrize("many", [1, 2, 10**6])
+def test_blocks_flushes_and_crowded_anchors(monkeypatch, many):
     monkeypatch.setattr(S, "BLOCK", 700)
     monkeypatch.setattr(S, "FLUSH", 50)
+    monkeypatch.setattr(S, "MANY", many)
     rows = [*corpus(3)[:40], (1000, " ".join(t or "" for _, t in corpus(4)[:60]))]
     batches = [S.pa.RecordBatch.from_pydict({"__key": [r[0] for r in rows], "__text": [r[1] for r in rows]})]
-    found = list(S._resolve(S._scan(1)(iter(batches))))
-    table = S.pa.Table.from_batches(found).to_pandas()
-    text = dict(rows)
-    one = table[table.kind == 1]
-    strings = [text[k].encode()[a : b - 1 + S.LENGTH] for k, a, b in zip(one.key, one.start, one.stop, strict=True)]
-    more = S.pa.Table.from_batches(list(S._expand(iter([S.pa.RecordBatch.from_pydict({"anchor": one.anchor.tolist(), "key": one.key.tolist(), "start": one.start.tolist(), "string": strings})])))).to_pandas()
+    table = S.pa.Table.from_batches(list(S._resolve(S._scan(3)(iter(batches))))).to_pandas()
+    lists = [[(r.kind, r.anchor, r.start, r.stop) for r in table[(table.key == k) & table.kind.isin([S.STRINGS, S.APART])].itertuples()] for k, _ in rows]
+    struct = S.pa.list_(S.pa.struct([("kind", S.pa.int32()), ("anchor", S.pa.int64()), ("start", S.pa.int64()), ("stop", S.pa.int64())]))
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array([r[0] for r in rows]), S.pa.array([r[1] for r in rows]), S.pa.array([[dict(zip(("kind", "anchor", "start", "stop"), x, strict=True)) for x in lst] for lst in lists], struct)], names=["__key", "__text", "list"])
+    fetched = S.pa.Table.from_batches(list(S._fetch(iter([batch]))))
+    strings = fetched.filter(S.pa.compute.equal(fetched["kind"], S.STRINGS)).combine_chunks().to_batches()
+    found = list(S._expand(iter(strings)))
+    covered = [(k, a, b) for t in [table[table.kind == S.REPEATS]] for k, a, b in zip(t.key, t.start, t.stop, strict=True)]
+    covered += [(k, a, b) for f in found for k, a, b in zip(*(f.column(i).to_pylist() for i in range(3)), strict=True)]
+    places = {}
+    for t in (table, fetched.to_pandas()):
+        t = t[t.kind == S.COUNTED]
+        for h, low, k, a in zip(t.anchor, t.stop, t.key, t.start, strict=True):
+            places.setdefault((h, low), []).append((k, a))
+    covered += [(k, a, a + 1) for p in places.values() for k, a in sorted(p)[1:]]
+    assert bool(places) == (many < 10**6)
     gone = {k: np.zeros(len((t or "").encode()), bool) for k, t in rows}
-    for frame in (table[table.kind == 0], more):
-        for k, a, b in zip(frame.key, frame.start, frame.stop, strict=True):
-            gone[k][a : b - 1 + S.LENGTH] = True
+    for k, a, b in covered:
+        gone[k][a : b - 1 + S.LENGTH] = True
     assert [int(gone[k].sum()) for k, _ in rows] == [r[2] for r in brute(rows)]
 
 
+def test_rows_with_crowded_anchors(spark, monkeypatch):
+    """A passage quoted by most documents, in other surroundings each time."""
+    rng = random.Random(7)
+    passage = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, " ".join(str(rng.random()) for _ in range(rng.randint(3, 20))) + passage + " ".join(str(rng.random()) for _ in range(9))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, S.suffix_dedup(spark, docs).collect())) == brute(rows)
+
+
 def test_null_and_repeated_ids_and_empty_table(spark, tmp_path):
     rows = [(None, "p" * 150), (5, "q" * 120), (5, "q" * 120), (5, "p" * 150), (None, "")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))

@@ -4,7 +4,10 @@
    windows have equal anchors. Successive windows with one anchor form a segment. Equal segments are combined within
    each task; all but the first of them are repeats whatever else there is. What is left is dealt out by anchor.
 2. For each anchor, equal segments are combined again. Anchors with one distinct segment are done. The distinct
-   segments of the others are fetched from their texts and dealt out by anchor, as strings.
+   segments of the others are fetched from their texts and dealt out by anchor, as strings. An anchor that has MANY
+   distinct segments in one slice of some task's text (a passage that much of the corpus quotes, each time in other
+   surroundings) is not gathered: its segments fall apart into windows, each known by a 128-bit hash, and these are
+   aggregated like any other rows, combined within tasks first.
 3. A task sorts the suffixes of its strings by their first symbols, takes the transform, and starts from the intervals of
    suffixes that share START symbols. Breadth first, each interval is extended backwards by every symbol
    before its suffixes; the intervals of the next length are those with two suffixes at least. This stops at
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import powers
-from tidelog.llm.common import documents, keep, ragged, shared_dir, slices, utf8
+from tidelog.llm.common import documents, keep, ragged, release, shared_dir, slices, utf8
 from tidelog.llm.exact_dedup import located
 
 LENGTH = 100
@@ -41,11 +44,13 @@ FLUSH = 2_000_000
 #: Symbols packed into the first sort key; doubling leads from there past LENGTH.
 PACKED = 7
 START = 28
+#: Distinct segments of an anchor in a slice of text from which the anchor's windows are counted one by one.
+MANY = 32
 
 
-def _hashes(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each string of `size` bytes, and prefix sums from which any string's hash follows."""
-    gear = np.random.default_rng(size).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    gear = np.random.default_rng(size + seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     up, down = powers(1 << 23)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(gear[data] * up[: len(data)], out=sums[1:])
@@ -96,6 +101,11 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[a], own ^ (own >> np.uint64(32)), at, size
 
 
+def windows(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the windows that start at `places`."""
+    return tuple(_hashes(data, LENGTH, seed)[0][places].view(np.int64) for seed in (0, 1000))
+
+
 def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges [start, stop) by key, overlapping and touching ones joined."""
     if not len(key):
@@ -139,28 +149,40 @@ def _combine(columns: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], t
     return tuple(x[first] for x in (anchor, own, key, start, size)), merged(key[rest], start[rest], start[rest] + size[rest])
 
 
+SEGMENTS, RANGES, WINDOWS, MARKS = range(4)
+
+
 def _scan(parts: int):
-    """Texts (key, text) to rows of (bucket, blob): packed segments by anchor, or ranges (kind 1) of repeats found here."""
+    """Texts (key, text) to rows (bucket, kind, blob): packed segments by anchor, ranges of repeats found here, windows of
+    anchors with many segments, and marks of these anchors."""
 
-    def emit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        first, (key, start, stop) = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
-        bucket = (first[0] % np.uint64(parts)).astype(np.int64)
+    def rows(kind: int, bucket: np.ndarray, pack) -> Iterator[tuple[int, int, bytes]]:
         order = np.argsort(bucket, kind="stable")
         limits = np.searchsorted(bucket[order], np.arange(parts + 1))
-        buckets, blobs, kinds = [], [], []
         for b in np.flatnonzero(np.diff(limits)).tolist():
-            rows = order[limits[b] : limits[b + 1]]
-            buckets.append(b)
-            blobs.append(_pack(tuple(x[rows] for x in first)))
-            kinds.append(0)
-        if len(key):
-            buckets.append(int(key[0]) % parts)
-            blobs.append(np.stack([key, start, stop]).astype("<i8").tobytes())
-            kinds.append(1)
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+            yield b, kind, pack(order[limits[b] : limits[b + 1]])
+
+    def emit(held: list[tuple[np.ndarray, ...]], many: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        first, repeats = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
+        found = list(rows(SEGMENTS, (first[0] % np.uint64(parts)).astype(np.int64), lambda i: _pack(tuple(x[i] for x in first))))
+        if many:
+            anchors = np.unique(np.concatenate([m[0] for m in many]))
+            found += rows(MARKS, (anchors % np.uint64(parts)).astype(np.int64), lambda i: anchors[i].tobytes())
+            # Equal windows: the first stays a candidate, the others are repeats.
+            high, low, key, start = (np.concatenate(x) for x in zip(*[m[1:] for m in many], strict=True))
+            order = np.lexsort((start, key, low, high))
+            high, low, key, start = high[order], low[order], key[order], start[order]
+            new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(high)]
+            more = merged(key[~new], start[~new], start[~new] + 1)
+            repeats = merged(*(np.r_[x, y] for x, y in zip(repeats, more, strict=True)))
+            table = np.stack([high[new], low[new], key[new], start[new]])
+            found += rows(WINDOWS, (table[0].view(np.uint64) % np.uint64(parts)).astype(np.int64), lambda i: table[:, i].astype("<i8").tobytes())
+        if len(repeats[0]):
+            found.append((int(repeats[0][0]) % parts, RANGES, np.stack(repeats).astype("<i8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, many, count = [], [], 0
         for batch in slices(batches, "__text", BLOCK):
             data, ends = utf8(batch.column(1))
             keys = np.asarray(batch.column(0))
@@ -170,41 +192,71 @@ def _scan(parts: int):
                 limits = np.array([0, len(part)]) if len(keys) == 1 else ends
                 anchor, own, at, size = segments(part, limits)
                 text = np.searchsorted(limits, at, "right") - 1
-                held.append((anchor, own, keys[text], at - limits[text] + low, size.astype(np.uint8)))
-                count += len(at)
+                columns = (anchor, own, keys[text], at - limits[text] + low, size.astype(np.uint8))
+                distinct = np.unique(np.stack([anchor, own]), axis=1)[0] if len(anchor) else anchor
+                crowded, times = np.unique(distinct, return_counts=True)
+                hot = np.isin(anchor, crowded[times >= MANY])
+                if hot.any():
+                    # Of equal segments only the first is taken apart; segments() goes on with the rest.
+                    once = np.zeros(len(anchor), bool)
+                    order = np.lexsort((at, keys[text], own, anchor))
+                    once[order] = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (own[order][1:] != own[order][:-1])]
+                    apart = hot & once
+                    places = ragged(at[apart], size[apart])
+                    of = np.repeat(text[apart], size[apart])
+                    many.append((anchor[apart], *windows(part, places), keys[of], places - limits[of] + low))
+                    count += len(places)
+                    # The others stay segments: the first of them in the corpus is checked again, all else are repeats.
+                    columns = tuple(x[~apart] for x in columns)
+                held.append(columns)
+                count += len(columns[0])
                 if count >= FLUSH:
-                    yield from emit(held)
-                    held, count = [], 0
+                    yield from emit(held, many)
+                    held, many, count = [], [], 0
         if count:
-            yield from emit(held)
+            yield from emit(held, many)
 
     return run
 
 
+#: What _resolve gives: ranges of repeats, segments to compare as strings, windows (hashes in anchor and stop), segments to take apart.
+REPEATS, STRINGS, COUNTED, APART = range(4)
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of some anchors to ranges of repeats (kind 0) and distinct segments of anchors with several (kind 1)."""
-    held, ranges = [], []
+    """All rows of some buckets to (kind, anchor, key, start, stop)."""
+    held, ranges, counted, marks = [], [], [], []
     for batch in batches:
         for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = blob.as_buffer()
-            if kind:
+            if kind == SEGMENTS:
+                held.append(_unpack(raw))
+            elif kind == RANGES:
                 ranges.append(np.frombuffer(raw, "<i8").reshape(3, -1))
+            elif kind == WINDOWS:
+                counted.append(np.frombuffer(raw, "<i8").reshape(4, -1))
             else:
-                held.append(_unpack(raw))
-    empty = np.zeros(0, np.int64)
-    mixed = (np.zeros(0, np.uint64), empty, empty, empty, empty)
+                marks.append(np.frombuffer(raw, "<u8"))
+    parts = []
     if held:
         first, found = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
         ranges.append(np.stack(found))
         anchor = first[0]
-        change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        several = np.repeat(np.diff(np.r_[change, len(anchor)]) > 1, np.diff(np.r_[change, len(anchor)]))
-        mixed = tuple(x[several] for x in first)
+        change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
+        times = np.diff(np.r_[change, len(anchor)])
+        marked = np.isin(anchor, np.concatenate(marks)) if marks else np.zeros(len(anchor), bool)
+        for kind, some in ((STRINGS, np.repeat(times > 1, times) & ~marked), (APART, marked)):
+            a, _, key, start, size = (x[some] for x in first)
+            parts.append((kind, a.view(np.int64), key, start, start + size))
+    if counted:
+        high, low, key, start = np.concatenate(counted, axis=1)
+        parts.append((COUNTED, high, key, start, low))
     key, start, stop = merged(*np.concatenate([*ranges, np.zeros((3, 0), np.int64)], axis=1))
-    kind = np.r_[np.zeros(len(key), np.int32), np.ones(len(mixed[0]), np.int32)]
-    columns = [np.r_[np.zeros(len(key), np.int64), mixed[0].view(np.int64)], np.r_[key, mixed[2]], np.r_[start, mixed[3]], np.r_[stop, mixed[3] + mixed[4]]]
-    for i in range(0, len(kind), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (kind, *columns)], names=["kind", "anchor", "key", "start", "stop"])
+    parts.append((REPEATS, np.zeros(len(key), np.int64), key, start, stop))
+    for kind, *columns in parts:
+        for i in range(0, len(columns[0]), 1 << 16):
+            some = [x[i : i + (1 << 16)] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *map(pa.array, some)], names=["kind", "anchor", "key", "start", "stop"])
 
 
 def repeated(texts: np.ndarray, ends: np.ndarray, length: int = LENGTH, start: int = START) -> tuple[np.ndarray, np.ndarray]:
@@ -298,17 +350,33 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their segments to the segments' strings."""
+    """Texts with their segments to rows (kind, anchor, key, start, stop, string): the segments' strings, or their windows' hashes."""
     for batch in slices(batches, "__text"):
         data, ends = utf8(batch.column(1))
         lists = batch.column(2)
         rows = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-        anchor, start, stop = (np.asarray(x) for x in lists.flatten().flatten())
+        kind, anchor, start, stop = (np.asarray(x) for x in lists.flatten().flatten())
+        keys = np.asarray(batch.column(0))
+        names = ["kind", "anchor", "key", "start", "stop", "string"]
+        apart = kind == APART
+        if apart.any():
+            size = (stop - start)[apart]
+            of = np.repeat(rows[apart], size)
+            inside = ragged(start[apart], size)
+            place = ends[of] + inside
+            high, low = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+            # Block by block, so that the hashes of a long text take bounded memory.
+            for begin in range(0, len(data), BLOCK):
+                here = (place >= begin) & (place < begin + BLOCK)
+                if here.any():
+                    high[here], low[here] = windows(data[begin : begin + BLOCK + LENGTH - 1], place[here] - begin)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), COUNTED, np.int32)), pa.array(high), pa.array(keys[of]), pa.array(inside), pa.array(low), pa.nulls(len(of), pa.binary())], names=names)
+        rows, anchor, start, stop = (x[~apart] for x in (rows, anchor, start, stop))
         size = stop - start - 1 + LENGTH
         bytes_ = data[ragged(ends[rows] + start, size)]
         limits = np.r_[0, np.cumsum(size)].astype(np.int64)
         strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(bytes_))])
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.asarray(batch.column(0))[rows]), pa.array(start), strings.cast(pa.binary())], names=["anchor", "key", "start", "string"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), STRINGS, np.int32)), *map(pa.array, (anchor, keys[rows], start, stop)), strings.cast(pa.binary())], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,11 +427,19 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     texts = rows.select("__key", "__text")
     found = texts.mapInArrow(_scan(parts), "bucket long, kind int, blob binary").repartition(parts, "bucket").mapInArrow(_resolve, "kind int, anchor long, key long, start long, stop long")
     found = keep(spark, found, f"{path}/segments")
-    wanted = found.filter("kind = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("list"))
-    strings = texts.join(wanted, F.col("__key") == F.col("key")).select("__key", "__text", "list").mapInArrow(_fetch, "anchor long, key long, start long, string binary")
-    more = strings.repartition(parts, "anchor").mapInArrow(_expand, "key long, start long, stop long")
-    more = keep(spark, more, f"{path}/expanded")
-    ranges = found.filter("kind = 0").select("key", "start", "stop").unionByName(more)
+    release(spark)
+    wanted = found.filter(F.col("kind").isin(STRINGS, APART)).groupBy("key").agg(F.collect_list(F.struct("kind", "anchor", "start", "stop")).alias("list"))
+    fetched = texts.join(wanted, F.col("__key") == F.col("key")).select("__key", "__text", "list").mapInArrow(_fetch, "kind int, anchor long, key long, start long, stop long, string binary")
+    fetched = keep(spark, fetched, f"{path}/fetched")
+    release(spark)
+    strings = fetched.filter(F.col("kind") == STRINGS).select("anchor", "key", "start", "string")
+    more = keep(spark, strings.repartition(parts, "anchor").mapInArrow(_expand, "key long, start long, stop long"), f"{path}/expanded")
+    # Windows counted one by one: of equal ones all but the first are repeats.
+    counted = found.filter(F.col("kind") == COUNTED).unionByName(fetched.filter(F.col("kind") == COUNTED).drop("string"))
+    counted = counted.select(F.col("anchor").alias("high"), F.col("stop").alias("low"), "key", "start")
+    first = counted.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).filter("n > 1")
+    again = counted.join(first, ["high", "low"]).filter(F.struct("key", "start") != F.col("first")).select("key", "start", (F.col("start") + 1).alias("stop"))
+    ranges = found.filter(F.col("kind") == REPEATS).select("key", "start", "stop").unionByName(more).unionByName(again)
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("list"))
     whole = rows.join(ranges, F.col("__key") == F.col("key"), "left").select("doc_id", "__text", "list")
     return whole.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
