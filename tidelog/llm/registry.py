@@ -10,7 +10,7 @@ from tidelog.llm.packing import op2_pack_sequences
 from tidelog.llm.quality import OP9_SQL, op9_quality_rules
 from tidelog.llm.secrets import op10_secret_scan
 from tidelog.llm.simhash import op8_simhash_near_dedup
-from tidelog.llm.suffix_dedup import op7_suffix_dedup
+from tidelog.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
 from tidelog.llm.warc import OP1_SQL, op1_warc_round_trip
 
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_round_trip": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_warc_round_trip": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
