@@ -15,6 +15,7 @@ from tidelog.functions.keys import KeyFilter, bloom_bits, bloom_hashes
 from tidelog.functions.partition import PartitionField, PartitionSpec
 from tidelog.operators import stats
 from tidelog.operators.buffer import BufferConfig, TableConfig, freeze_plan, lag, lsn_ranges
+from tidelog.operators.lsn import LsnManager
 from tidelog.sources.arrow_ipc import read_arrow, write_arrow
 from tidelog.sources.catalog import Catalog, Identifier, TableType
 from tidelog.sources.table import Table, Tier
@@ -172,3 +173,14 @@ def test_null_fraction_of_an_empty_segment(spark):
     frame = spark.createDataFrame([(0, 0), (4, 1)], "rows long, nulls_c long")
     assert [r[0] for r in frame.select(stats.null_fraction("c")).collect()] == [0.0, 0.25]
     assert [r[0] for r in frame.select(stats.all_null("c")).collect()] == [True, False] and math.isfinite(0.0)
+
+
+def test_lsn_manager():
+    m = LsnManager()
+    assert m.current == 1 and m.assign(5) == (1, 5) and m.assign() == (6, 6) and m.current == 7
+    m.assign(94)
+    m.mark_flushed(50)
+    m.mark_flushed(20)
+    m.mark_committed(20)
+    assert (m.flushed, m.committed, m.pending_flush, m.pending_commit) == (50, 20, 51, 30)
+    assert LsnManager(8).assign() == (8, 8)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.schema import LSN
+from tidelog.operators.buffer import BufferConfig
 from tidelog.operators.prune import Between, Compare, In, IsNull, TimeRange
 from tidelog.sources.catalog import Catalog, TableExists, TableNotFound, TableType
 from tidelog.sources.log import Conflict, Files, Log
 from tidelog.sources.table import Table, Tier
+from tidelog.sources.write_buffer import WriteBuffer
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("amount", T.DoubleType())])
 DAY = datetime.datetime(2024, 1, 1)
@@ -233,3 +235,24 @@ def test_catalog(spark, tmp_path):
     assert ids(Table(spark, m.location, SCHEMA).snapshot()) == [0, 1, 2], "data stays"
     with pytest.raises(TableNotFound):
         again.drop_table("log")
+
+
+def test_write_buffer(spark, table):
+    buffer = WriteBuffer(BufferConfig(total=100, size=50, batches=3))
+    assert buffer.empty and not buffer.freeze() and buffer.flush(table) == []
+    with pytest.raises(ValueError):
+        buffer.append(batch(spark, 0, 0))
+    assert [buffer.append(batch(spark, k * 10, 10), 10) for k in range(3)] == [False, False, True]
+    assert (buffer.batches, buffer.unflushed, buffer.frozen) == (3, 30, 0)
+    assert buffer.freeze() and buffer.append(batch(spark, 30, 10), 60), "size triggers, too"
+    with pytest.raises(TimeoutError):
+        buffer.append(batch(spark, 40, 10), 20, timeout=0.05)
+    assert buffer.flush(table) == [1, 2, 3] and buffer.unflushed == 60
+    buffer.append(batch(spark, 40, 10), 20, timeout=0.05)
+    buffer.close(table)
+    assert buffer.empty and buffer.unflushed == 0
+    assert [(r.seg_id, r.min_lsn, r.max_lsn, r.rows) for r in table.segments().orderBy("seg_id").collect()] == [(1, 1, 3, 30), (2, 4, 5, 20)]
+    for lsn in range(6):
+        assert ids(table.snapshot(lsn)) == list(range(lsn * 10))
+    assert table.append(batch(spark, 99, 1))[0].lsn == 6 and table.watermarks().flushed == 6
+    assert ids(Table(spark, table.path, SCHEMA, ["id"]).snapshot()) == [*range(50), 99]

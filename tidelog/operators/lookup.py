@@ -45,3 +45,21 @@ def key_index(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
 def without_segment(index: DataFrame, seg_id: int) -> DataFrame:
     """The index after a segment has gone: only keys whose newest place was there."""
     return index.where(F.col("seg_id") != seg_id)
+
+
+def keys_of_segment(index: DataFrame, seg_id: int, keys: list[str]) -> DataFrame:
+    return index.where(F.col("seg_id") == seg_id).select(*keys)
+
+
+def without_keys(index: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return index.join(gone.select(*keys), keys, "left_anti")
+
+
+def with_segment(index: DataFrame, fresh: DataFrame, keys: list[str], seg_id: int) -> DataFrame:
+    """The index after a segment's keys are listed anew: they replace what was listed for it, and their older places."""
+    return without_keys(without_segment(index, seg_id), fresh, keys).unionByName(fresh.select(*index.columns))
+
+
+def disk_index_stats(index: DataFrame) -> DataFrame:
+    """Keys, segments and memory of a key index."""
+    return index.agg(F.count("*").alias("entries"), F.count_distinct("seg_id").alias("segments"), (F.count("*") * DISK_ENTRY_BYTES).cast("long").alias("memory_bytes"))

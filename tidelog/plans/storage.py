@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions.partition import PartitionField, PartitionSpec
+from tidelog.operators.buffer import BufferConfig
 from tidelog.operators.prune import Between
 from tidelog.plans.base import query, table
 from tidelog.sources.arrow_ipc import read_arrow, write_arrow
 from tidelog.sources.catalog import Catalog
 from tidelog.sources.workspace import workspace
+from tidelog.sources.write_buffer import WriteBuffer
 from tidelog.streaming.ingest import file_stream, write_stream
 
 COLUMNS = ["event_id", "user_id", "event_type", "value"]
@@ -55,6 +57,20 @@ def table_compacted(spark, sf_dir):
     return made.snapshot()
 
 
+@query(f"{_N} SELECT * FROM t WHERE __lsn <= 3")
+def table_buffered(spark, sf_dir):
+    """Four batches gather in two buffers and become two segments; the snapshot as of LSN 3 cuts through the second one."""
+    rows = table(spark, sf_dir, "events").select(*COLUMNS)
+    n = max(1, rows.count())
+    made = Catalog(spark, workspace(spark)).create_table("events", rows.schema)
+    buffer = WriteBuffer(BufferConfig(batches=2))
+    for k in range(4):
+        if buffer.append(rows.where(F.expr(f"event_id * 4 div {n}") == k), 1):
+            buffer.freeze()
+    buffer.close(made)
+    return made.snapshot(3)
+
+
 @query(f"{_N} SELECT event_id, value FROM t WHERE event_id BETWEEN 100 AND 200")
 def table_pruned_scan(spark, sf_dir):
     return _filled(spark, sf_dir)[1].scan(Between("event_id", 100, 200), ["event_id", "value"])

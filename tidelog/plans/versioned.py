@@ -138,6 +138,20 @@ def pk_keys_by_segment(spark, sf_dir):
     return lookup.key_index(rows, ["user_id"], ["seg_id"]).groupBy("seg_id").agg(F.count("*").alias("keys"))
 
 
+@query(f"{E}, i AS (SELECT user_id, max(__lsn) AS seg_id FROM e GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 10 ELSE seg_id END AS seg_id FROM i WHERE seg_id <> 10 OR user_id % 3 = 0")
+def pk_index_replace_segment(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("seg_id", F.col("__lsn"))
+    index = lookup.key_index(rows, ["user_id"], ["seg_id"])
+    fresh = index.where("user_id % 3 = 0").select("user_id", F.lit(10).cast("long").alias("seg_id"))
+    return lookup.with_segment(index, fresh, ["user_id"], 10)
+
+
+@query(f"{E}, i AS (SELECT user_id, max(__lsn) AS seg_id FROM e GROUP BY user_id) SELECT count(*) AS entries, count(DISTINCT seg_id) AS segments, (84 * count(*))::BIGINT AS memory_bytes FROM i")
+def pk_disk_index_stats(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("seg_id", F.col("__lsn"))
+    return lookup.disk_index_stats(lookup.key_index(rows, ["user_id"], ["seg_id"]))
+
+
 @query("SELECT n, ceil(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS bits, greatest(1, round(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS hashes FROM (SELECT count(*) AS n FROM orders)")
 def bloom_parameters(spark, sf_dir):
     n = table(spark, sf_dir, "orders").count()

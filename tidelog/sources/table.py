@@ -6,6 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass
 from enum import IntEnum
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ class Table:
         while True:
             state = self.log.refresh()
             if txn and txn in state.transactions:
-                return state.transactions[txn]
+                return int(state.transactions[txn])
             lsn = state.next
             entry = {"lsn": lsn, "txn": txn} | make(lsn, self._next_segment())
             try:
@@ -112,6 +113,19 @@ class Table:
         lsn = self._commit(make, idempotency_key)
         return [Ack(lsn, tier, time.time_ns() // 1000) for tier in (Tier.MEMORY, Tier.DISK)]
 
+    def append_many(self, batches: list[DataFrame], idempotency_key: str | None = None) -> list[int]:
+        """Appends several batches as one segment, each under an LSN of its own; empty ones are left out. Their LSNs."""
+        batches = [b for b in map(self._conform, batches) if not b.isEmpty()]
+        if not batches:
+            return []
+
+        def make(lsn: int, seg_id: int) -> dict:
+            rows = reduce(DataFrame.unionByName, [b.withColumn(LSN, F.lit(lsn + i).cast("long")) for i, b in enumerate(batches)])
+            return {"kind": "append", "last_lsn": lsn + len(batches) - 1, "segments": [self._write(rows, lsn, seg_id, keep_lsn=True)]}
+
+        first = self._commit(make, idempotency_key)
+        return list(range(first, first + len(batches)))
+
     # Reads
 
     def head(self) -> int:
