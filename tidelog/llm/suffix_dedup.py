@@ -38,20 +38,20 @@ LENGTH = 100
 GRAM = 32
 #: Bits of the keys that order strings within a block of text, and a block's bytes.
 PLACE_BITS = 24
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Segments that a task holds before it combines and emits them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Symbols packed into the first sort key; doubling leads from there past LENGTH.
 PACKED = 7
 START = 28
 #: Distinct segments of an anchor in a slice of text from which the anchor's windows are counted one by one.
-MANY = 32
+MANY = 16
 
 
 def _hashes(data: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each string of `size` bytes, and prefix sums from which any string's hash follows."""
     gear = np.random.default_rng(size + seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    up, down = powers(1 << 23)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(gear[data] * up[: len(data)], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
@@ -93,7 +93,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     real = valid[at]
     at, size = at[real], size[real]
     a = anchor[at]
-    _, down = powers(1 << 23)
+    _, down = powers(len(data) + 1)
     own = (sums[at + size - 1 + LENGTH] - sums[at]) * down[at]
     own += size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (a - at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     own ^= own >> np.uint64(31)
