@@ -36,7 +36,7 @@ def want(table):
     return sorted(out)
 
 
-@pytest.mark.parametrize("split", [7, 900, 1 << 25])
+@pytest.mark.parametrize("split", [61, 900, 1 << 25])
 def test_round_trip(spark, tmp_path, split):
     table = rows()
     pages = spark.createDataFrame(table, "page_id long, url string, html string, payload string").repartition(3)
