@@ -110,7 +110,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """`docs` without the rows that exact_dedup does not keep."""
     names = docs.columns
     rows, found = resolve(spark, docs, **options)
-    stay = found.select("__sha", F.col("best.file").alias("__file"), F.col("best.row").alias("__row")).distinct()
+    stay = found.filter((F.col("__file") == F.col("best.file")) & (F.col("__row") == F.col("best.row"))).select("__sha", "__file", "__row")
     out = rows.join(stay, ["__sha", "__file", "__row"], "left_semi")
     if "_metadata" in names:
         out = out.withColumnRenamed("__own_metadata", "_metadata")
