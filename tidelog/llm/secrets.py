@@ -31,11 +31,12 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "key", "jwt", "vendor")
-#: Added kinds. The formats of private key blocks, of signed tokens and of some vendors' tokens.
+#: Added kinds: literals of which every match holds one at least, so that a text with none is passed over, and the pattern.
+#: The formats of private key blocks, of signed tokens and of some vendors' tokens.
 MORE = {
-    "key": (b"PRIVATE KEY", re.compile(rb"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END ([A-Z]+ )*PRIVATE KEY-----")),
-    "jwt": (b"eyJ", re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    "vendor": (b"_", re.compile(rb"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,})")),
+    "key": ((b"PRIVATE KEY",), re.compile(rb"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END ([A-Z]+ )*PRIVATE KEY-----")),
+    "jwt": ((b"eyJ",), re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "vendor": ((b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat_", b"glpat-", b"xox", b"k_live_"), re.compile(rb"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,})")),
 }
 WORDS = re.compile(rb"passw|secret|token|api_?key", re.I)
 #: Distinct owners from which a value counts as a copied example.
@@ -52,8 +53,8 @@ def find(text: bytes) -> list[tuple[int, int, int, bytes]]:
     if b"AKIA" in text:
         spans += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     spans += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    for number, (mark, pattern) in enumerate(MORE.values(), 3):
-        if mark in text:
+    for number, (marks, pattern) in enumerate(MORE.values(), 3):
+        if any(mark in text for mark in marks):
             spans += [(number, m.start(), m.end(), m[0]) for m in pattern.finditer(text)]
     if not spans:
         return []
