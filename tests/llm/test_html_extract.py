@@ -51,6 +51,13 @@ def test_plain_page(trees):
     assert extract([PAGE], trees) == ["Head & line\nFirst para, with space.\nSecond étalic <b> text goes on for a while, and ends.\nThird paragraph with enough words to count as one."]
 
 
+@pytest.mark.parametrize("n", [3, 48, 49, 50, 184])
+def test_same_siblings_are_counted_exactly(n):
+    nodes = parse("<article><h1>Head</h1>" + "<p>text</p>" * n + "</article>")
+    same = dict(zip((x.tag for x in nodes), features(nodes)[:, -5], strict=True))
+    assert same["article"] == same["h1"] == 1 and same["p"] == n
+
+
 def test_broken_html_does_not_crash(trees):
     hard = ["", "<", "<p", "</p></div>", "<script>", "<!--", "a" * 50_000, "<div>" * 3000 + "x", "<p>" * 5000, "<a href='x>y", "<TD>x<tr><td>y", "&#0;&bogus;&#x110000;", "<İ>x</İ><script>y</script>"]
     assert len(extract(hard, trees)) == len(hard)

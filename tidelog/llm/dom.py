@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -126,6 +127,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), FEATURES), np.float32)
     total = max(1, nodes[0].all_chars)
     above: list[tuple[int, int, int]] = []
+    tags: list[Counter | None] = []  # of each node's children
     for i, n in enumerate(nodes):
         row = out[i]
         if n.tag in _TAG:
@@ -136,7 +138,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         if p and p.tag in _TAG:
             row[len(TAGS) + _TAG[p.tag]] = 1
         siblings = p.children if p else [n]
-        same = sum(1 for s in siblings if s.tag == n.tag) if len(siblings) < 50 else len(siblings)
+        tags.append(Counter(c.tag for c in n.children) if n.children else None)
+        same = tags[p.index][n.tag] if p else 1
         first = siblings[0] is n
         row[2 * len(TAGS) :] = (
             n.good, n.bad, good, bad, article,
