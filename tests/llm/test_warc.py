@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyarrow import fs
 
-from tidelog.llm.warc import END, member, page_record, read_archives, records, write_archives
+from tidelog.llm.warc import END, member, op1_warc_round_trip, page_record, read_archives, records, whole, write_archives
 
 HARD = b"\x1f\x8b\x08\x00WARC/1.0\r\n\r\n" * 20
 
@@ -65,6 +65,20 @@ def test_foreign_bytes_and_broken_records(tmp_path):
         assert found == [f"<urn:page:{i}>" for i in range(5)], split
 
 
+def test_a_header_of_any_length(spark, tmp_path):
+    rng = random.Random(5)
+    url = "data:," + "".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(3 << 20))
+    spark.createDataFrame([(1, url, "x"), (2, "http://x/", "y")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r.page_id for r in op1_warc_round_trip(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_missing_records_are_an_error(spark):
+    manifest = spark.createDataFrame([("a", 10, 2), ("b", 10, 1)], "path string, bytes long, records long")
+    assert whole(manifest, spark.range(3)).count() == 3
+    with pytest.raises(ValueError, match="2 records were read, 3 written"):
+        whole(manifest, spark.range(2))
+
+
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_archives(spark, write_archives(spark, pages, f"file://{tmp_path}/e")).count() == 0

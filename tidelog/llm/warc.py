@@ -32,8 +32,6 @@ MAX_FILE = 1 << 30
 SPLIT = 32 << 20
 MAX_TASKS = 50_000
 BLOCK = 1 << 20
-#: A WARC header longer than this is not taken for one.
-MAX_HEADER = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -137,13 +135,12 @@ def decode(source: Range, offset: int) -> tuple[dict[str, str], bytes, int] | No
                     return None
                 continue
             at += len(piece)
+            known = len(raw)
             raw += unpack.decompress(piece)
             if head < 0:
                 if not b"WARC/1.".startswith(raw[:7]) if len(raw) < 7 else raw[:7] != b"WARC/1.":
                     return None
-                head = raw.find(END)
-                if head < 0 and len(raw) > MAX_HEADER:
-                    return None
+                head = raw.find(END, max(0, known - len(END) + 1))
     except zlib.error:
         return None
     if head < 0:
@@ -224,12 +221,22 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split: int = SPLIT,
     return ranges.mapInArrow(run, RECORDS + ", payload binary" * payload)
 
 
+def whole(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """`found`, the records read without the warcinfo ones, if they are as many as the manifest has; else an error."""
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, found.count()
+    if read != written:
+        raise ValueError(f"{read} records were read, {written} written")
+    return found
+
+
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(spark, pages, f"{shared_dir(spark)}/warc")
+    path = shared_dir(spark)
+    manifest = write_archives(spark, pages, f"{path}/warc")
     found = read_archives(spark, manifest, payload=False).filter("type <> 'warcinfo'")
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    found = found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    return whole(manifest, keep(spark, found, f"{path}/records"))
 
 
 OP1_SQL = """
