@@ -50,6 +50,32 @@ def test_round_trip(spark, tmp_path, split):
         gzip.decompress(open(row.path.removeprefix("file://"), "rb").read())
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_mostly_equal_pages_and_a_very_long_one(spark, tmp_path, most):
+    rng = random.Random(6)
+    long = rng.randbytes(25 << 20).hex()
+    table = [(i, "u", "copy " * 400, 1) for i in range(450)] + [(1000 + i, None, f"page {i} " * 200, 1) for i in range(50)] + [(2000, "u", long, 1), (2001, "u", long, 1)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string, digest int").repartition(4)
+    manifest = write_archives(spark, pages, f"file://{tmp_path}/w", most=most)
+    found = read_archives(spark, manifest, 1 << 20, payload=False).filter("type <> 'warcinfo'").collect()
+    number = lambda x: "None" if x is None or not x[10:-1].isdigit() else x[10:-1]
+    assert sorted((number(r.record_id), r.payload_bytes, r.payload_digest, r.type, number(r.refers_to)) for r in found) == want(table)
+
+
+@pytest.mark.parametrize("split", [150, 1000, 1 << 25])
+def test_an_archive_within_a_record_is_no_record(spark, tmp_path, split):
+    rng = random.Random(7)
+    inner = b"".join(page_record(100 + i, "u", p := rng.randbytes(300), hashlib.sha1(p).hexdigest(), None) for i in range(5))
+    outer = [gzip.compress(gzip.decompress(page_record(i, "u", p, hashlib.sha1(p).hexdigest(), None)), 0) for i, p in enumerate([b"a", inner, b"b", inner, b"c"])]
+    raw = b"".join(outer)
+    open(tmp_path / "a.warc.gz", "wb").write(raw)
+    assert raw.count(inner) == 2, "the archive inside has to be stored as it is"
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(raw))], "path string, bytes long")
+    found = read_archives(spark, manifest, split).collect()
+    assert sorted(r.record_id for r in found) == [f"<urn:page:{i}>" for i in range(5)]
+    assert [r.payload for r in sorted(found, key=lambda r: r.offset)][1::2] == [inner, inner]
+
+
 def test_foreign_bytes_and_broken_records(tmp_path):
     good = [page_record(i, "u", b"p" * i * 100, hashlib.sha1(b"p" * i * 100).hexdigest(), None) for i in range(5)]
     stored = gzip.compress(b"not a record", 0)
