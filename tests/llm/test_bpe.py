@@ -50,6 +50,38 @@ def test_decode_of_malformed_ids(library):
         assert own.decode(np.array(ids), np.array([0, len(ids)])) == [library.decode(ids, skip_special_tokens=False).encode()]
 
 
+def thue_morse(letters, n):
+    """Words whose polynomial hashes modulo 2**64 are those of their complements, whatever the base."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+TWINS = [thue_morse(x, n) for n in (1024, 2048, 4096, 8192) for x in ("ab", "ba")]
+
+
+def test_words_that_share_a_hash(library):
+    want = [library.encode(t, add_special_tokens=False).ids for t in TWINS]
+    own = BatchEncoder(PATH)
+    for texts_ in (TWINS, TWINS[::-1], [f"{t} {t[::-1]} " for t in TWINS] * 2):
+        ids, ends = own.encode(texts_)
+        for i, t in enumerate(texts_):
+            assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert own.odd, "some words did share a hash"
+    raw = [t.encode() for t in TWINS]
+    ends = np.r_[0, np.cumsum([len(r) for r in raw])]
+    assert [x.tolist() for x in ChunkEncoder(own).encode(np.frombuffer(b"".join(raw), np.uint8), ends)] == want
+
+
+def test_a_window_that_disagrees_grows(library):
+    own = ChunkEncoder(BatchEncoder(PATH), 5)
+    text = prose(11, 1)[0]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    own.encode(raw, ends)
+    for chunk, (ids, mark, places) in own.known.items():
+        own.known[chunk] = (ids[::-1].copy() if mark else ids, mark, places)
+    assert own.encode(raw, ends)[0].tolist() == library.encode(text, add_special_tokens=False).ids and own.grown
+
+
 @pytest.mark.parametrize("bits", [2, 5, 9])
 def test_chunks_as_library(library, bits):
     own = ChunkEncoder(BatchEncoder(PATH), bits, max_ids=4000)
@@ -63,7 +95,7 @@ def test_chunks_as_library(library, bits):
 
 
 def test_op4_rows(spark, library):
-    some = [*texts(5, 20, 300), *prose(5, 20), None, "", "", "long " * 100_000]
+    some = [*texts(5, 20, 300), *prose(5, 20), None, "", "", "long " * 100_000, *TWINS]
     docs = spark.createDataFrame([(i if i % 9 else None, t, 7) for i, t in enumerate(some)], "doc_id long, text string, n_tokens int")
     want = []
     for i, t in enumerate(some):

@@ -2,7 +2,8 @@
 
 A text is cut into pre-tokens by rules on character classes, computed for a batch of texts in arrays. Each
 distinct pre-token is encoded once per task and its ids are kept in a hash table; the ids of a text are
-gathered from there. The vocabulary comes from a tokenizer file of the `tokenizers` library. Texts that hold one of
+gathered from there. Every pre-token found by its hash is compared with the one that was kept, character by character, so two
+that share a hash get ids of their own. The vocabulary comes from a tokenizer file of the `tokenizers` library. Texts that hold one of
 its special tokens go to that library itself.
 """
 
@@ -139,6 +140,9 @@ class BatchEncoder:
         self.count = 0
         self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.ids, self.used = np.zeros(1 << 17, np.int32), 0
+        self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.points, self.written = np.zeros(1 << 17, np.uint32), 0
+        self.odd: dict[str, int] = {}
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hashed word, -1 for unknown ones."""
@@ -164,27 +168,46 @@ class BatchEncoder:
             todo = todo[self.slot[place[todo]] != numbers[todo]]
             place[todo] = (place[todo] + 1) & mask
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+    def _store(self, words: list[str], points: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Encodes new words, whose code points are given one after the other; their numbers."""
         encode = self.engine.encode_ordinary
         found = [encode(w) for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
         n = self.count + len(words)
         while n > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+            self.begin, self.size, self.at, self.length = (np.resize(x, 2 * len(x)) for x in (self.begin, self.size, self.at, self.length))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.begin[self.count : n] = self.used + np.cumsum(size) - size
-        self.size[self.count : n] = size
+        while self.written + len(points) > len(self.points):
+            self.points = np.resize(self.points, 2 * len(self.points))
+        fresh = slice(self.count, n)
+        self.begin[fresh], self.size[fresh] = self.used + np.cumsum(size) - size, size
+        self.at[fresh], self.length[fresh] = self.written + np.cumsum(length) - length, length
         self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        if 2 * n > len(self.keys):
-            old, numbers = self.keys[self.slot >= 0], self.slot[self.slot >= 0]
-            cells = 4 << int(n).bit_length()
+        self.points[self.written : self.written + len(points)] = points
+        self.used, self.written, self.count = self.used + len(flat), self.written + len(points), n
+        return np.arange(fresh.start, n)
+
+    def _learn(self, h: np.ndarray, words: list[str], points: np.ndarray, length: np.ndarray) -> None:
+        numbers = self._store(words, points, length)
+        if 2 * self.count > len(self.keys):
+            old, before = self.keys[self.slot >= 0], self.slot[self.slot >= 0]
+            cells = 4 << self.count.bit_length()
             self.keys, self.slot = np.zeros(cells, np.uint64), np.full(cells, -1, np.int64)
-            self._insert(old, numbers)
-        self._insert(h, np.arange(self.count, n))
-        self.count = n
+            self._insert(old, before)
+        self._insert(h, numbers)
+
+    def _other(self, number: np.ndarray, body: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which of the words in `body`, one after the other, are not the kept ones of these numbers."""
+        same = self.length[number] == length
+        if not same.all():
+            wrong = np.flatnonzero(~same)
+            begin = np.cumsum(length) - length
+            rest = np.flatnonzero(same)
+            return np.union1d(wrong, rest[self._other(number[rest], body[ragged(begin[rest], length[rest])], length[rest])])
+        unlike = np.flatnonzero(self.points[ragged(self.at[number], length)] != body)
+        return np.unique(np.searchsorted(np.cumsum(length), unlike, "right"))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the texts' limits in them."""
@@ -210,17 +233,27 @@ class BatchEncoder:
         real = kind[start] != END
         text_of = np.searchsorted(stops, start[real])
         start, end = start[real], end[real]
+        length = end - start
+        body = points[kind != END]
         h = hash_runs(points, start, end)
         number = self._find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
-            if self.count + len(new) > MAX_WORDS or self.used > MAX_IDS:
+            if self.count + len(new) > MAX_WORDS or self.used > MAX_IDS or self.written > MAX_IDS:
                 self._clear()
                 new = np.arange(len(h))
             keys, first = np.unique(h[new], return_index=True)
             at = new[first]
-            self._learn(keys, [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            self._learn(keys, [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], points[ragged(start[at], length[at])], length[at])
             number = self._find(h)
+        other = self._other(number, body, length)
+        if len(other):
+            # Another word has this one's hash: it is known by itself.
+            words = [whole[a:b] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+            fresh = {w: i for w, i in zip(reversed(words), reversed(other.tolist()), strict=True) if w not in self.odd}
+            at = np.fromiter(fresh.values(), np.int64, len(fresh))
+            self.odd.update(zip(fresh, self._store(list(fresh), points[ragged(start[at], length[at])], length[at]).tolist(), strict=True))
+            number[other] = [self.odd[w] for w in words]
         count = self.size[number]
         ids = self.ids[ragged(self.begin[number], count)]
         per_text = np.bincount(text_of, count, len(texts)).astype(np.int64)

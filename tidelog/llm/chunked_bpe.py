@@ -2,13 +2,14 @@
 
 A rolling hash over the text's bytes cuts it into chunks, so that passages shared by several documents give the
 same chunks wherever they stand. A chunk is encoded once in each Python worker, which keeps the ids of chunks
-by digest over all of its tasks (up to a bound, so memory does not grow with the input). Where two chunks meet,
+by their bytes over all of its tasks (up to a bound, so memory does not grow with the input). Where two chunks meet,
 their ids may be wrong. A window around each join, from the second last word boundary of the left chunk to the second of the
-right one, is encoded again and has to agree with the chunks on the words at its two ends; if it does not,
-it grows chunk by chunk to the whole document. No row leaves its task: there is no shuffle.
+right one, is encoded again and has to agree with the chunks on the words at its two ends; if one does not,
+the window grows to the whole document, which agrees with itself. No row leaves its task: there is no shuffle.
 
-Defined results: a null text counts as empty (no ids, digests of the empty string); repeated rows give repeated
-results; an empty table gives an empty result.
+Defined results: a null text counts as empty (no ids, digests of the empty string); a null doc_id stays null; repeated rows
+give repeated results; a text of any length is encoded whole, alone in its slice of a batch; an empty table gives an empty
+result; columns beyond the two named have no effect, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,14 +63,14 @@ class ChunkEncoder:
         self.encoded = self.reused = self.repaired = self.grown = 0
         self.size = base.table[2]
 
-    def _learn(self, keys: list[bytes], chunks: list[bytes], marks: list[tuple | None]) -> dict[bytes, tuple]:
+    def _learn(self, fresh: dict[bytes, list | None]) -> dict[bytes, tuple]:
         """Encodes new chunks: ids, and for (h1, h2, t2, t1), word boundaries in bytes, their places in the ids."""
-        ids, ends = self.base.encode([c.decode() for c in chunks])
+        ids, ends = self.base.encode([c.decode() for c in fresh])
         out = {}
-        for key, a, b, mark in zip(keys, ends[:-1].tolist(), ends[1:].tolist(), marks, strict=True):
+        for (chunk, mark), a, b in zip(fresh.items(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             own = ids[a:b].copy()
             places = np.searchsorted(np.cumsum(self.size[own]), mark).tolist() if mark else None
-            out[key] = (own, mark, [p + 1 for p in places] if mark else None)
+            out[chunk] = (own, mark, [p + 1 for p in places] if mark else None)
         self.encoded += len(out)
         return out
 
@@ -101,17 +101,16 @@ class ChunkEncoder:
         found: dict[bytes, tuple] = {}
         for a, b, ok, mark in zip(starts.tolist(), stops.tolist(), enough.tolist(), marks, strict=True):
             chunk = whole[a:b]
-            key = xxhash.xxh3_128_digest(chunk)
-            keys.append(key)
-            if key in found or key in fresh:
+            keys.append(chunk)
+            if chunk in found or chunk in fresh:
                 self.reused += 1
-            elif key in self.known:
-                self.known.move_to_end(key)
-                found[key] = self.known[key]
+            elif chunk in self.known:
+                self.known.move_to_end(chunk)
+                found[chunk] = self.known[chunk]
                 self.reused += 1
             else:
-                fresh[key] = (chunk, mark if ok else None)
-        learned = self._learn(list(fresh), [x[0] for x in fresh.values()], [x[1] for x in fresh.values()]) if fresh else {}
+                fresh[chunk] = mark if ok else None
+        learned = self._learn(fresh) if fresh else {}
         found.update(learned)
         self._keep(learned)
 
