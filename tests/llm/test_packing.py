@@ -77,3 +77,22 @@ def test_rows(spark):
         assert all(zlib.crc32(own[a : a + n]) == c for a, n, c in parts)
     assert sum(r.length for r in got if r.doc_id is None) == 2 * (len(library.encode("null id", add_special_tokens=False).ids) + 1)
     assert pack_documents(spark, docs.limit(0), PATH).count() == 0
+
+
+def test_large_ids_beside_nulls_and_words_that_share_a_hash(spark):
+    from tests.llm.test_bpe import TWINS
+
+    library = Tokenizer.from_file(PATH)
+    rows = [(None, "x"), ((1 << 60) + 1, "a b"), ((1 << 60) + 3, "a b"), *(((1 << 61) + i, t) for i, t in enumerate(TWINS))]
+    got = pack_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    for doc, text in rows:
+        own = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        parts = [r for r in got if r.doc_id == doc]
+        assert sum(r.length for r in parts) == len(own) and all(zlib.crc32(own[r.start : r.start + r.length]) == r.ids_crc32 for r in parts)
+
+
+def test_a_row_repeated_very_often_spreads_over_the_groups(spark):
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", "'again and again' AS text")
+    got = pack_documents(spark, docs, PATH, group=1000).selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert len(got) == 100 and max(r["count"] for r in got) < 1500 and sum(r["count"] for r in got) >= 100_000

@@ -7,9 +7,11 @@ A sequence whose length is a power of two is never padded, and any other is padd
 little is lost, the least filled sequences of a group are taken apart at the end and their pieces, cut where
 needed, fill the gaps of the others.
 
-Defined results: a null text counts as empty (its document is the separator alone); repeated rows are packed as
-often as they occur; an empty table gives an empty result. The groups depend on the rows' contents only, so a
-task that is run again gives the same result.
+Defined results: a null text counts as empty (its document is the separator alone); a null doc_id stays null, and any other
+keeps all its digits; repeated rows are packed as often as they occur; documents of equal sizes are taken in the order of a hash
+of their places; a text of any length is encoded whole and fills as many sequences as it needs; an empty table gives
+an empty result; columns beyond the two named have no effect, whatever their names. A row's group follows from its place (file and
+row), so repeated rows spread over all groups and a task that is run again gives the same result.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import PIECE, encoder
-from tidelog.llm.common import documents, slices
+from tidelog.llm.common import documents, shared_dir, slices
+from tidelog.llm.exact_dedup import located
 
 LENGTH = 1024
 SEPARATOR = 0
@@ -114,14 +116,13 @@ def pack(sizes: np.ndarray, capacity: int = LENGTH) -> list[tuple[int, int, int,
     return out
 
 
-def _counted(docs: DataFrame, doc_id: str, text: str, tokenizer: str, length: int) -> DataFrame:
-    """Per document: doc_id, doc_tokens, crcs of its whole sequences, and its remainder's bytes."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
+def _counted(rows: DataFrame, tokenizer: str, length: int) -> DataFrame:
+    """Rows (doc_id, place, __text) to doc_id, place, doc_tokens, crcs of the whole sequences, and the remainder's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in slices(batches, "__text", PIECE):
-            ids, ends = encode([x or "" for x in batch.column(1).to_pylist()])
+            ids, ends = encode([x or "" for x in batch.column(2).to_pylist()])
             tokens, crcs, rests = [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], SEPARATOR).astype("<u4")
@@ -130,10 +131,10 @@ def _counted(docs: DataFrame, doc_id: str, text: str, tokenizer: str, length: in
                 crcs.append([zlib.crc32(own[k * length : (k + 1) * length]) for k in range(whole)])
                 rests.append(own[whole * length :].astype("<u2").tobytes() if own.max() < 1 << 16 else own[whole * length :].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "rest"]
+                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], names=["doc_id", "place", "doc_tokens", "crcs", "rest"]
             )
 
-    return rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest binary")
+    return rows.mapInArrow(run, "doc_id long, place long, doc_tokens long, crcs array<long>, rest binary")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,41 +143,34 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row for each piece of a document: PIECES."""
     groups = max(1, -(-docs.count() // group))
-    rows = _counted(docs, doc_id, text, tokenizer, length)
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", "rest", F.lit(SEED)), F.lit(groups)))
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "doc_tokens", "rest"], kind="stable").reset_index(drop=True)
-        total = frame.doc_tokens.to_numpy()
+    rows = located(spark, docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text")), shared_dir(spark))
+    rows = rows.select("doc_id", F.xxhash64("__file", "__row", F.lit(SEED)).alias("place"), "__text")
+    rows = _counted(rows, tokenizer, length).withColumn("group", F.pmod("place", F.lit(groups)))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        total = np.asarray(table["doc_tokens"])
+        crcs, rests = table["crcs"], table["rest"]
         whole = total // length
         left = total - whole * length
         items = np.flatnonzero(left)
         out, bins = [], 0
         for item, start, size, bin_, offset in pack(left[items], length):
             i = int(items[item])
-            raw = frame.rest.iat[i]
+            raw = rests[i].as_py()
             own = np.frombuffer(raw, "<u2" if len(raw) == 2 * left[i] else "<u4").astype("<u4")
             out.append((i, int(whole[i]) * length + start, size, zlib.crc32(own[start : start + size]), bin_, offset))
             bins = max(bins, bin_ + 1)
         for i in np.flatnonzero(whole).tolist():
-            for k, crc in enumerate(frame.crcs.iat[i]):
-                out.append((i, k * length, length, int(crc), bins, 0))
+            for k, crc in enumerate(crcs[i].as_py()):
+                out.append((i, k * length, length, crc, bins, 0))
                 bins += 1
-        index = np.array([x[0] for x in out], np.int64)
-        columns = np.array([x[1:] for x in out], np.int64).reshape(-1, 5).T
-        return pd.DataFrame(
-            {
-                "doc_id": frame.doc_id.iloc[index].array,
-                "start": columns[0],
-                "length": columns[1],
-                "ids_crc32": columns[2],
-                "doc_tokens": total[index],
-                "sequence_id": (int(key[0]) << 32) + columns[3],
-                "offset": columns[4],
-            }
-        )
-
-    return rows.groupBy("group").applyInPandas(run, PIECES)
+        index, start, size, crc, bin_, offset = np.array(out, np.int64).reshape(-1, 6).T
+        sequence = (key[0].as_py() << 32) + bin_
+        columns = [table["doc_id"].take(pa.array(index)), *map(pa.array, (start, size, crc, total[index], sequence, offset))]
+        return pa.table(columns, names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return rows.groupBy("group").applyInArrow(run, PIECES)
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
