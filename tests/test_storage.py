@@ -1,8 +1,14 @@
 """Tables: log, snapshots, change data, pruning, keys, compaction, recovery."""
 
 import datetime
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,3 +262,225 @@ def test_write_buffer(spark, table):
         assert ids(table.snapshot(lsn)) == list(range(lsn * 10))
     assert table.append(batch(spark, 99, 1))[0].lsn == 6 and table.watermarks().flushed == 6
     assert ids(Table(spark, table.path, SCHEMA, ["id"]).snapshot()) == [*range(50), 99]
+
+
+def folders(path, name):
+    return sorted(os.listdir(os.path.join(path, name))) if os.path.exists(os.path.join(path, name)) else []
+
+
+def orphans(table):
+    """Folders of data and deletes that the log does not know."""
+    state = table.log.refresh()
+    known = {s["path"].rsplit("/", 1)[1] for s in state.segments.values()} | {r["segment"]["path"].rsplit("/", 1)[1] for r in state.retired}
+    deletes = {d["path"].rsplit("/", 1)[1] for d in state.deletes}
+    return [f for f in folders(table.path, "data") if f not in known] + folders(table.path, "_staged") + [f for f in folders(table.path, "_deletes") if f not in deletes]
+
+
+def test_a_half_written_entry_at_the_head_holds_nobody_up(spark, table):
+    table.append(batch(spark, 0, 3))
+    table.log.files.create(f"{table.path}/_log/{2:020d}.json", '{"lsn": 2, "kind')
+    table.log.grace = 0.5
+    assert table.append(batch(spark, 3, 3))[0].lsn == 3 and ids(table.snapshot()) == list(range(6))
+    again = Table(spark, table.path, SCHEMA, ["id"])
+    again.log.grace = 0.0
+    assert ids(again.snapshot()) == list(range(6)) and orphans(table) == []
+
+
+def test_a_half_written_entry_in_the_middle(spark, table):
+    for k in range(3):
+        table.append(batch(spark, k, 1))
+    path = f"{table.path}/_log/{2:020d}.json"
+    open(path, "w").write('{"lsn": 2, "kind": "app')
+    fresh = Table(spark, table.path, SCHEMA, ["id"])
+    assert ids(fresh.snapshot()) == [0], "what follows waits while the entry may still be written"
+    fresh.log.grace = 0.0
+    assert ids(fresh.snapshot()) == [0, 2] and fresh.append(batch(spark, 9, 1))[0].lsn == 4
+
+
+def test_an_entry_that_stays_in_the_way_is_an_error_in_bounded_time(spark, table, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.table.RETRIES", 4)
+    table.log.files.create(f"{table.path}/_log/{1:020d}.json", "{")
+    with pytest.raises(Conflict):
+        table.append(batch(spark, 0, 3))
+    assert folders(table.path, "data") == folders(table.path, "_staged") == []
+
+
+def test_racing_writers_lose_nothing_and_write_once(spark, table):
+    writers = [Table(spark, table.path, SCHEMA, ["id"]) for _ in range(4)]
+
+    def work(k):
+        return [writers[k].append(batch(spark, 100 * k + i, 1))[0].lsn for i in range(5)]
+
+    with ThreadPoolExecutor(4) as pool:
+        lsns = sum(pool.map(work, range(4)), [])
+    assert sorted(lsns) == list(range(1, 21)) and ids(table.snapshot()) == sorted(100 * k + i for k in range(4) for i in range(5))
+    assert orphans(table) == []
+    assert sorted(r[LSN] for r in table.snapshot().collect()) == list(range(1, 21)), "each row has the LSN of its entry"
+
+
+def test_the_log_is_shortened_behind_its_checkpoints(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    log = Log(files, str(tmp_path / "_log"))
+    entry = lambda lsn: {"lsn": lsn, "kind": "append", "segments": [{"seg_id": lsn, "min_lsn": lsn, "max_lsn": lsn}]}
+    slow = Log(files, str(tmp_path / "_log"))
+    for lsn in range(1, 302):
+        log.publish(entry(lsn))
+        if lsn == 5:
+            assert slow.refresh().next == 6
+    assert len([n for n in files.names(str(tmp_path / "_log")) if n.endswith("json")]) <= 201
+    with pytest.raises(Conflict):
+        slow.publish(entry(6))
+    assert len(slow.refresh().segments) == len(Log(files, str(tmp_path / "_log")).refresh().segments) == 301
+
+
+def test_an_append_during_compaction_is_there_once(spark, table, monkeypatch):
+    other = Table(spark, table.path, SCHEMA, ["id"])
+    for k in range(3):
+        table.append(batch(spark, k, 1))
+    real = table._stage
+    between = [lambda: other.append(batch(spark, 9, 1))]
+    monkeypatch.setattr(table, "_stage", lambda rows: (real(rows), between and between.pop()())[0])
+    table.compact()
+    assert ids(table.snapshot()) == [0, 1, 2, 9] == ids(Table(spark, table.path, SCHEMA).snapshot()) and table.segments().count() == 2
+    # A delete in between is not lost either.
+    table.append(batch(spark, 20, 2))
+    between = [lambda: other.delete_key(20)]
+    monkeypatch.setattr(table, "_stage", lambda rows: (real(rows), between and between.pop()())[0])
+    table.compact()
+    assert ids(table.snapshot()) == [0, 1, 2, 9, 21] and table.segments().count() == 1 and orphans(table) == []
+    assert ids(table.snapshot(3)) == [0, 1, 2]
+
+
+def test_compaction_leaves_large_segments_and_drops_applied_deletes(spark, table):
+    table.append(batch(spark, 0, 2000))
+    for k in range(3):
+        table.append(batch(spark, 3000 + k, 1))
+    large = table.log.state.segments[1]["bytes"]
+    table.compact(target=large - 1)
+    assert [r.rows for r in table.segments().orderBy("seg_id").collect()] == [2000, 3]
+    assert table.compact(target=large - 1) is None, "nothing is left to join"
+    table.delete_key(3001)
+    assert table._deletes(table.head(), list(table.log.state.segments.values())) is not None
+    table.compact(target=large - 1)
+    assert table._deletes(table.head(), list(table.log.state.segments.values())) is None
+    assert ids(table.snapshot()) == [*range(2000), 3000, 3002]
+
+
+VALUES = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1.0, 2.5, -7.0]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(VALUES), min_size=1, max_size=4), min_size=1, max_size=3), st.data())
+def test_pruned_scans_equal_full_ones_with_nan_null_and_infinity(spark, tmp_path_factory, batches, data):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())])
+    made = Table(spark, str(tmp_path_factory.mktemp("nan") / "t"), schema)
+    for k, values in enumerate(batches):
+        made.append(spark.createDataFrame([(10 * k + i, v) for i, v in enumerate(values)], schema))
+    some = [v for v in VALUES if v is not None]
+    v, w = data.draw(st.sampled_from(some)), data.draw(st.sampled_from(some))
+    wheres = [Compare("v", op, v) for op in ("=", "!=", "<", "<=", ">", ">=")] + [Between("v", v, w), In("v", (v, w)), IsNull("v"), Compare("v", "<", v) | Compare("v", ">", w)]
+    full = made.snapshot()
+    for where in wheres:
+        assert ids(made.scan(where)) == ids(full.where(where.rows())), where
+
+
+def test_nulls_in_required_columns_are_refused(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("tags", T.ArrayType(T.StringType()), False), T.StructField("x", T.LongType())])
+    made = Table(spark, str(tmp_path / "t"), schema, ["id"])
+    loose = "id long, tags array<string>, x long"
+    made.append(spark.createDataFrame([(1, ["a"], None)], loose))
+    for bad in ((None, ["a"], 1), (2, None, 1)):
+        with pytest.raises(ValueError, match="nulls"):
+            made.append(spark.createDataFrame([(5, ["b"], 1), bad], loose))
+    assert ids(made.snapshot()) == [1] and orphans(made) == []
+
+
+def test_one_change_a_key(spark, table):
+    table.append(batch(spark, 0, 3))
+    twice = batch(spark, 1, 1, "u").withColumn("op", F.lit("update"))
+    with pytest.raises(ValueError, match="one key"):
+        table.apply_changes(twice.unionByName(twice))
+    with pytest.raises(ValueError, match="one key"):
+        table.update(batch(spark, 1, 1).unionByName(batch(spark, 1, 1)))
+    assert ids(table.snapshot()) == [0, 1, 2] and table.watermarks().next == 2 and orphans(table) == []
+
+
+def opened(frame):
+    return len({f.rsplit("/", 2)[-2] for f in frame.inputFiles() if "/data/" in f})
+
+
+def test_lookups_open_only_segments_that_may_have_the_key(spark, table):
+    for k in range(4):
+        table.append(batch(spark, k * 10, 10))
+    assert opened(table.lookup(25)) == 1 and table.lookup(25).first().name == "name_25" and opened(table.lookup(99)) == 0
+    for wrong in ("25", 25.0, True, None):
+        assert table.lookup(wrong).isEmpty() and not table.exists(wrong) and not table.might_exist(wrong)
+    assert table.lookup(1, 2).isEmpty()
+
+
+def test_conditions_in_sql_prune_segments(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    made = catalog.create_table("sales", SCHEMA, "primary_key", ["id"])
+    for k in range(4):
+        made.append(batch(spark, k * 10, 10))
+    made.delete_key(12)
+    for text, want, n in (
+        ("SELECT id FROM sales WHERE id = 17", [17], 1),
+        ("SELECT id FROM sales WHERE amount > 3000 AND name <> 'x'", [36, 37, 38, 39], 1),
+        ("SELECT id FROM sales WHERE ts >= TIMESTAMP_NTZ '2024-01-21' AND ts < TIMESTAMP_NTZ '2024-01-22'", [20], 1),
+        ("SELECT id FROM sales WHERE id IN (11, 12, 13)", [11, 13], 1),
+        ("SELECT id FROM sales WHERE id < 2 OR id > 37", [0, 1, 38, 39], 2),
+        ("SELECT id FROM sales WHERE name IS NULL", [], 0),
+        ("SELECT id FROM sales WHERE id % 39 = 0", [0, 39], 4),
+        ("SELECT a.id FROM sales a JOIN sales b ON a.id = b.id + 10 WHERE a.id = 15 AND b.id = 5", [15], 2),
+        ("SELECT id FROM sales WHERE id = 3 AND amount < (SELECT max(amount) FROM sales)", [3], 4),
+        ("WITH t AS (SELECT * FROM default.sales WHERE id = 3) SELECT id FROM t", [3], 1),
+    ):
+        found = catalog.sql(text)
+        assert ids(found) == want and opened(found) == n, text
+    assert not spark.catalog.tableExists("sales"), "the views are not left in the session"
+
+
+def test_names_in_sql(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    for name, k in (("a.t", 1), ("b.t", 2), ("c.u", 3), ("u", 4)):
+        catalog.create_table(name, SCHEMA).append(batch(spark, k, 1))
+    assert ids(catalog.sql("SELECT * FROM a.t")) == [1] and ids(catalog.sql("SELECT x.id FROM `b`.`t` x JOIN a.t y ON x.id = y.id + 1")) == [2]
+    assert ids(catalog.sql("SELECT * FROM u")) == [4] and ids(catalog.sql("SELECT u.id FROM c.u AS u")) == [3]
+    with pytest.raises(AnalysisException):
+        catalog.sql("SELECT * FROM t")
+
+
+def test_two_catalogs_keep_each_others_tables(spark, tmp_path):
+    one, two = (Catalog(spark, str(tmp_path / "c")) for _ in range(2))
+    one.create_table("x", SCHEMA)
+    two.create_table("y", SCHEMA)
+    with pytest.raises(TableExists):
+        two.create_table("x", SCHEMA)
+    assert one.list_tables() == two.list_tables() == ["default.x", "default.y"] and one.get_table("y").head() == 0
+    one.drop_table("y")
+    assert two.list_tables() == ["default.x"]
+
+
+def test_a_running_buffer_flushes_by_itself(spark, table):
+    buffer = WriteBuffer(BufferConfig(interval_ms=50))
+    with buffer.running(table):
+        buffer.append(batch(spark, 0, 3), 1)
+        end = time.monotonic() + 30
+        while not buffer.empty and time.monotonic() < end:
+            time.sleep(0.05)
+        assert buffer.empty and ids(table.snapshot()) == [0, 1, 2]
+        buffer.append(batch(spark, 3, 3), 1)
+    assert ids(table.snapshot()) == list(range(6)) and buffer.failure is None
+
+
+def test_a_flush_that_came_through_unnoticed_is_not_done_twice(spark, table, monkeypatch):
+    buffer = WriteBuffer(BufferConfig())
+    buffer.append(batch(spark, 0, 3), 1)
+    buffer.freeze()
+    real = table.append_many
+    monkeypatch.setattr(table, "append_many", lambda *a: (real(*a), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        buffer.flush(table)
+    monkeypatch.setattr(table, "append_many", real)
+    assert buffer.flush(table) == [1] and ids(table.snapshot()) == [0, 1, 2] and buffer.empty

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -29,26 +30,32 @@ class Predicate:
         return Any_((self, other))
 
 
-def _known(column: str, columns: list[str], test: Column) -> Column:
-    return F.coalesce(test, F.lit(True)) if f"min_{column}" in columns else F.lit(True)
+def _known(column: str, columns: list[str], test: Column, nan: Column) -> Column:
+    """`test` of the bounds, or `nan` where the segment has NaN, which the bounds leave out. What is unknown may be."""
+    if f"nans_{column}" in columns:
+        test = test | (nan & F.coalesce(F.col(f"`nans_{column}`") > 0, F.lit(True)))
+    return F.coalesce(test, F.lit(True))
 
 
 @dataclass(frozen=True)
 class Compare(Predicate):
+    """A comparison with a value. NaN equals itself and is larger than any number."""
+
     column: str
     op: str
     value: Any
 
     def rows(self) -> Column:
-        c, v = F.col(self.column), F.lit(self.value)
+        c, v = F.col(f"`{self.column}`"), F.lit(self.value)
         return {"=": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v, "!=": c != v}[self.op]
 
     def keeps(self, columns: list[str]) -> Column:
-        low, high, v = F.col(f"min_{self.column}"), F.col(f"max_{self.column}"), F.lit(self.value)
         if f"min_{self.column}" not in columns:
             return F.lit(True)
+        low, high, v = F.col(f"`min_{self.column}`"), F.col(f"`max_{self.column}`"), F.lit(self.value)
         test = {"=": (low <= v) & (high >= v), ">": high > v, ">=": high >= v, "<": low < v, "<=": low <= v, "!=": (low != v) | (high != v)}[self.op]
-        return _known(self.column, columns, test)
+        nan = isinstance(self.value, float) and math.isnan(self.value)
+        return _known(self.column, columns, test, F.lit({"=": nan, ">": not nan, ">=": True, "<": False, "<=": nan, "!=": not nan}[self.op]))
 
 
 @dataclass(frozen=True)
@@ -58,10 +65,10 @@ class Between(Predicate):
     high: Any
 
     def rows(self) -> Column:
-        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+        return F.col(f"`{self.column}`").between(F.lit(self.low), F.lit(self.high))
 
     def keeps(self, columns: list[str]) -> Column:
-        return _known(self.column, columns, (F.col(f"min_{self.column}") <= F.lit(self.high)) & (F.col(f"max_{self.column}") >= F.lit(self.low))) if f"min_{self.column}" in columns else F.lit(True)
+        return Compare(self.column, ">=", self.low).keeps(columns) & Compare(self.column, "<=", self.high).keeps(columns)
 
 
 @dataclass(frozen=True)
@@ -70,7 +77,7 @@ class In(Predicate):
     values: tuple
 
     def rows(self) -> Column:
-        return F.col(self.column).isin(*self.values)
+        return F.col(f"`{self.column}`").isin(*self.values)
 
     def keeps(self, columns: list[str]) -> Column:
         return reduce(lambda a, b: a | b, (Compare(self.column, "=", v).keeps(columns) for v in self.values), F.lit(False))
@@ -81,10 +88,10 @@ class IsNull(Predicate):
     column: str
 
     def rows(self) -> Column:
-        return F.col(self.column).isNull()
+        return F.col(f"`{self.column}`").isNull()
 
     def keeps(self, columns: list[str]) -> Column:
-        return F.col(f"nulls_{self.column}") > 0 if f"nulls_{self.column}" in columns else F.lit(True)
+        return F.coalesce(F.col(f"`nulls_{self.column}`") > 0, F.lit(True)) if f"nulls_{self.column}" in columns else F.lit(True)
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Statistics of segments: rows, LSN and time range, minimum, maximum and nulls of each comparable column."""
+"""Statistics of segments: rows, LSN and time range, minimum, maximum and nulls of each comparable column, and NaNs."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from tidelog.functions.schema import LSN, comparable, time_column
 
 
 def bounds(schema: T.StructType, columns: list[str] | None = None) -> list[Column]:
-    """min_, max_ and nulls_ of every comparable column; NaN counts neither as minimum nor as maximum."""
+    """min_, max_ and nulls_ of every comparable column; NaN counts neither as minimum nor as maximum, but in nans_ of floating columns."""
     out = []
     for f in schema.fields:
         if not comparable(f.dataType) or (columns is not None and f.name not in columns):
             continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out.append(F.count_if(F.isnan(c)).alias(f"nans_{f.name}"))
             c = F.when(~F.isnan(c), c)
         out += [F.min(c).alias(f"min_{f.name}"), F.max(c).alias(f"max_{f.name}"), F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"nulls_{f.name}")]
     return out
@@ -38,7 +39,7 @@ def segment_stats(rows: DataFrame, segment: str, columns: list[str] | None = Non
 
 def merge_stats(parts: DataFrame, segment: str) -> DataFrame:
     """Statistics of segments from those of their batches, compared by type."""
-    how = {"min": F.min, "max": F.max, "rows": F.sum, "nulls": F.sum}
+    how = {"min": F.min, "max": F.max, "rows": F.sum, "nulls": F.sum, "nans": F.sum}
     return parts.groupBy(segment).agg(*[how[c.split("_")[0]](f"`{c}`").alias(c) for c in parts.columns if c != segment and c.split("_")[0] in how])
 
 

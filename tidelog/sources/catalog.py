@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from dataclasses import dataclass, field
 from enum import Enum
@@ -13,10 +14,13 @@ from pyspark.sql import types as T
 from tidelog.functions import schema as schemas
 from tidelog.functions.partition import PartitionSpec
 from tidelog.operators.buffer import TableConfig
-from tidelog.sources.log import Files
-from tidelog.sources.table import Table
+from tidelog.sources.log import Conflict, Files
+from tidelog.sources.pushdown import pruned
+from tidelog.sources.table import RETRIES, Table
 
 DEFAULT = "default"
+#: Versions of the registry that are kept.
+KEPT = 100
 
 
 class TableExists(ValueError):
@@ -83,36 +87,57 @@ class Metadata:
 
 
 class Catalog:
-    """Tables under one root. The registry is one JSON file, replaced whole with each change."""
+    """Tables under one root. The registry is a JSON file, a new version of which is created with each change; of two catalogs that
+    change it at once, the later one changes what the earlier one has left."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, self.root)
         self.entries: dict[str, Metadata] = {}
         self.tables: dict[str, Table] = {}
-        text = self.files.read(f"{self.root}/_catalog.json")
-        for d in json.loads(text) if text else []:
-            self.entries[d["name"]] = Metadata.from_dict(d)
-
-    def _save(self) -> None:
-        self.files.replace(f"{self.root}/_catalog.json", json.dumps([m.to_dict() for m in self.entries.values()]))
+        self._load()
+
+    def _load(self) -> list[int]:
+        """Reads the newest version; all versions' numbers."""
+        numbers = [int(n.split(".")[0]) for n in self.files.names(f"{self.root}/_catalog") if n[0] not in "_." and n.endswith(".json")]
+        text = self.files.read(f"{self.root}/_catalog/{numbers[-1]:020d}.json") if numbers else None
+        self.entries = {d["name"]: Metadata.from_dict(d) for d in json.loads(text or "[]")}
+        return numbers
+
+    def _change(self, change) -> None:
+        for _ in range(RETRIES):
+            numbers = self._load()
+            change()
+            try:
+                self.files.create(f"{self.root}/_catalog/{(numbers or [0])[-1] + 1:020d}.json", json.dumps([m.to_dict() for m in self.entries.values()]))
+            except Conflict:
+                continue
+            for number in numbers[:-KEPT]:
+                self.files.delete(f"{self.root}/_catalog/{number:020d}.json")
+            return
+        raise Conflict("the registry could not be changed")
 
     def create_table(self, name: str | Identifier, schema: T.StructType | str, kind: str | TableType = TableType.APPEND_ONLY, primary_key: list[str] | None = None, spec: PartitionSpec | None = None, properties: dict[str, str] | None = None) -> Table:
         name = Identifier.parse(name) if isinstance(name, str) else name
         schema = schemas.from_json(schema) if isinstance(schema, str) else schema
-        if name.qualified in self.entries:
-            raise TableExists(name.qualified)
         kind, key = TableType.parse(kind), list(primary_key or [])
         unknown = [k for k in key if k not in schema.names]
         if unknown or (kind is TableType.PRIMARY_KEY and not key):
             raise ValueError(f"primary key {key} does not fit the schema")
         (spec or PartitionSpec()).columns(schema)
-        self.entries[name.qualified] = Metadata(name, schema, kind, key, spec or PartitionSpec(), dict(properties or {}), f"{self.root}/{'/'.join(name.namespace)}/{name.name}")
-        self._save()
+
+        def add() -> None:
+            if name.qualified in self.entries:
+                raise TableExists(name.qualified)
+            self.entries[name.qualified] = Metadata(name, schema, kind, key, spec or PartitionSpec(), dict(properties or {}), f"{self.root}/{'/'.join(name.namespace)}/{name.name}")
+
+        self._change(add)
         return self.get_table(name)
 
     def _name(self, name: str | Identifier) -> str:
         found = (Identifier.parse(name) if isinstance(name, str) else name).qualified
+        if found not in self.entries:
+            self._load()
         if found not in self.entries:
             raise TableNotFound(found)
         return found
@@ -128,22 +153,45 @@ class Catalog:
         return self.tables[key]
 
     def list_tables(self) -> list[str]:
+        self._load()
         return sorted(self.entries)
 
     def drop_table(self, name: str | Identifier) -> None:
         """Takes the table out of the registry. Its data stays."""
         key = self._name(name)
-        del self.entries[key]
+        self._change(lambda: self.entries.pop(self._name(key)))
         self.tables.pop(key, None)
-        self._save()
 
     def frame(self) -> DataFrame:
         """The registry as rows."""
+        self._load()
         rows = [(k, m.kind.value, ",".join(m.primary_key), len(m.schema.fields), m.spec.partitioned) for k, m in sorted(self.entries.items())]
         return self.spark.createDataFrame(rows, "name string, type string, primary_key string, n_columns int, partitioned boolean")
 
     def sql(self, text: str) -> DataFrame:
-        """Runs SQL over the current snapshots, each table being a view of its last name."""
-        for key in self.entries:
-            self.get_table(key).view(self.entries[key].identifier.name)
-        return self.spark.sql(text)
+        """Runs SQL over the current snapshots of the tables it names, in a session of its own, whose views nobody else sees.
+
+        A table is named with its namespace or, if that tells it from all others, without (`default` has precedence). Segments whose statistics
+        rule out the conditions that reach a table's scan are not opened.
+        """
+        self._load()
+        session = self.spark.newSession()
+        for key, value in self.spark.conf.getAll.items():
+            if key.startswith("spark.sql.") and session.conf.isModifiable(key):
+                session.conf.set(key, value)
+        short: dict[str, list[str]] = {}
+        for key, m in self.entries.items():
+            short.setdefault(m.identifier.name.lower(), []).append(key)
+        views: dict[str, Table] = {}
+        for key, m in self.entries.items():
+            if not re.search(rf"\b{re.escape(m.identifier.name)}\b", text, re.I):
+                continue
+            view = "__".join([*m.identifier.namespace, m.identifier.name])
+            parts = r"\s*\.\s*".join(f"`?{re.escape(p)}`?" for p in (*m.identifier.namespace, m.identifier.name))
+            text, n = re.subn(rf"(\b(?:from|join)\s+|,\s*){parts}(?![\w.`])", lambda x, v=view: f"{x[1]}`{v}`", text, flags=re.I)
+            if n:
+                views[view] = self.get_table(key)
+            alike = short[m.identifier.name.lower()]
+            if len(alike) == 1 or m.identifier.namespace == (DEFAULT,):
+                views[m.identifier.name] = self.get_table(key)
+        return pruned(session, text, views)

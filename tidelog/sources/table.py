@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import datetime
 import time
 import uuid
 from dataclasses import dataclass
@@ -17,10 +19,18 @@ from tidelog.functions.schema import LSN
 from tidelog.operators import lookup as L
 from tidelog.operators import stats as S
 from tidelog.operators.cdc import locate
-from tidelog.operators.prune import Predicate, prune
+from tidelog.operators.prune import All, Compare, Predicate, prune
 from tidelog.sources.log import Conflict, Files, Log
 
 PLACE = ["seg_id", "__file", "__row"]
+#: How often a commit is tried before it fails.
+RETRIES = 200
+#: How often a compaction starts anew because of deletes that came in between.
+OVERTAKEN = 5
+#: Bytes up to which compaction joins segments.
+COMPACTED = 1 << 30
+#: Keys that the bloom filter of a table is sized for at most (about 1.2 bytes each).
+MAX_FILTERED = 1 << 26
 
 
 class Tier(IntEnum):
@@ -70,47 +80,86 @@ class Table:
             raise ValueError(f"the batch lacks {missing} and has unknown columns {extra}")
         return batch.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema.fields]))
 
-    def _write(self, batch: DataFrame, lsn: int, seg_id: int, keep_lsn: bool = False) -> dict:
-        """Writes one segment; its statistics are gathered by the same pass."""
-        rows = batch if keep_lsn else batch.withColumn(LSN, F.lit(lsn).cast("long"))
-        # A name of its own: of two writers that take one number, only the one whose log entry is first is seen.
-        folder = f"{self.path}/data/seg-{seg_id}-{uuid.uuid4().hex}"
+    def _stage(self, rows: DataFrame) -> dict:
+        """Writes one segment aside, once for a call however often its commit is tried; its statistics are gathered by the same pass.
+
+        The column for the LSN counts from the LSN of the entry (from 0 in a compacted segment), which the folder's name will tell.
+        """
+        if LSN not in rows.columns:
+            rows = rows.withColumn(LSN, F.lit(0).cast("long"))
+        folder = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        required = [f.name for f in self.schema.fields if not f.nullable]
+        absent = F.count_if(reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNull() for c in required), F.lit(False))).alias("absent")
         seen = Observation()
-        rows = rows.observe(seen, *S.ranges(rows.schema), *S.bounds(rows.schema))
-        rows.write.parquet(folder)
-        found = seen.get
+        rows = rows.observe(seen, absent, *S.ranges(rows.schema), *S.bounds(rows.schema))
+        writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for key in self.primary_key:
+            # Lookups skip row groups by these.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        try:
+            writer.parquet(folder)
+            found = seen.get
+            if found.pop("absent"):
+                raise ValueError(f"nulls in {required}")
+        except BaseException:
+            self.files.delete(folder)
+            raise
         plain = {k: v if isinstance(v, (int, float, str, type(None))) else str(v) for k, v in found.items()}
-        return {"seg_id": seg_id, "path": folder, "bytes": self.files.size(folder), "created_at": time.time(), "committed": False, "durability": self.durability} | plain
+        return {"path": folder, "bytes": self.files.size(folder), "created_at": time.time(), "committed": False, "durability": self.durability} | plain
+
+    def _numbered(self, seg: dict, seg_id: int, lsn: int) -> dict:
+        """A staged segment under the numbers that a commit is tried with; `seg` is told where its files are."""
+        to = f"{self.path}/data/seg-{seg_id}-{lsn}-{uuid.uuid4().hex}"
+        self.files.move(seg["path"], to)
+        seg["path"] = to
+        names = ("min_lsn", "max_lsn", f"min_{LSN}", f"max_{LSN}")
+        return seg | {"seg_id": seg_id} | {n: seg[n] + lsn for n in names if seg.get(n) is not None}
 
     def _next_segment(self) -> int:
         state = self.log.state
         return max([0, *state.segments, *(r["segment"]["seg_id"] for r in state.retired)]) + 1
 
-    def _commit(self, make, txn: str | None = None) -> int:
-        """Publishes the entry that `make(lsn, seg_id)` returns, again with later numbers if another writer was first."""
-        while True:
-            state = self.log.refresh()
-            if txn and txn in state.transactions:
-                return int(state.transactions[txn])
-            lsn = state.next
-            entry = {"lsn": lsn, "txn": txn} | make(lsn, self._next_segment())
-            try:
-                return self.log.publish(entry)
-            except Conflict:
-                continue
+    def _commit(self, make, txn: str | None = None, staged: list[dict] | None = None) -> int:
+        """Publishes the entry that `make(lsn, seg_id)` returns, again with later numbers if another writer was first. What was staged
+        for it, and delete files of attempts that lost, are removed unless they are part of the log in the end."""
+        done = False
+        try:
+            for attempt in range(RETRIES):
+                state = self.log.refresh()
+                if txn and txn in state.transactions:
+                    return int(state.transactions[txn])
+                lsn = state.next
+                entry = {"lsn": lsn, "txn": txn} | make(lsn, self._next_segment())
+                try:
+                    self.log.publish(entry)
+                    done = True
+                    return lsn
+                except Conflict:
+                    if entry.get("deletes"):
+                        self.files.delete(entry["deletes"])
+                    if self.log.refresh().next == lsn:
+                        # Somebody's entry can't be read yet.
+                        time.sleep(min(0.5, 0.01 * 2**attempt))
+            raise Conflict(f"no entry could be published in {RETRIES} attempts")
+        finally:
+            for seg in [] if done else staged or []:
+                self.files.delete(seg["path"])
+
+    def _known(self, txn: str | None) -> int | None:
+        found = self.log.refresh().transactions.get(txn) if txn else None
+        return None if found is None else int(found)
 
     def append(self, batch: DataFrame, idempotency_key: str | None = None) -> list[Ack]:
-        """Appends a batch; an acknowledgement for each tier it has reached. An empty batch is an error."""
+        """Appends a batch; an acknowledgement for each tier it has reached. An empty batch is an error, and so is a null in a column that
+        must not have any."""
         batch = self._conform(batch)
-
-        def make(lsn: int, seg_id: int) -> dict:
-            seg = self._write(batch, lsn, seg_id)
+        lsn = self._known(idempotency_key)
+        if lsn is None:
+            seg = self._stage(batch)
             if not seg["rows"]:
                 self.files.delete(seg["path"])
                 raise ValueError("an empty batch can't be appended")
-            return {"kind": "append", "segments": [seg]}
-
-        lsn = self._commit(make, idempotency_key)
+            lsn = self._commit(lambda lsn, seg_id: {"kind": "append", "segments": [self._numbered(seg, seg_id, lsn)]}, idempotency_key, [seg])
         return [Ack(lsn, tier, time.time_ns() // 1000) for tier in (Tier.MEMORY, Tier.DISK)]
 
     def append_many(self, batches: list[DataFrame], idempotency_key: str | None = None) -> list[int]:
@@ -118,12 +167,10 @@ class Table:
         batches = [b for b in map(self._conform, batches) if not b.isEmpty()]
         if not batches:
             return []
-
-        def make(lsn: int, seg_id: int) -> dict:
-            rows = reduce(DataFrame.unionByName, [b.withColumn(LSN, F.lit(lsn + i).cast("long")) for i, b in enumerate(batches)])
-            return {"kind": "append", "last_lsn": lsn + len(batches) - 1, "segments": [self._write(rows, lsn, seg_id, keep_lsn=True)]}
-
-        first = self._commit(make, idempotency_key)
+        first = self._known(idempotency_key)
+        if first is None:
+            seg = self._stage(reduce(DataFrame.unionByName, [b.withColumn(LSN, F.lit(i).cast("long")) for i, b in enumerate(batches)]))
+            first = self._commit(lambda lsn, seg_id: {"kind": "append", "last_lsn": lsn + len(batches) - 1, "segments": [self._numbered(seg, seg_id, lsn)]}, idempotency_key, [seg])
         return list(range(first, first + len(batches)))
 
     # Reads
@@ -137,26 +184,32 @@ class Table:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumns({"seg_id": F.lit(0).cast("long"), "__file": F.lit(""), "__row": F.lit(0).cast("long")})
         rows = self.spark.read.schema(schema).parquet(*[s["path"] for s in segments])
-        number = F.regexp_extract("_metadata.file_path", r"/seg-(\d+)-[0-9a-f]{32}/", 1).cast("long")
-        return rows.withColumns({"seg_id": number, "__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+        number = lambda k: F.regexp_extract("_metadata.file_path", r"/seg-(\d+)-(\d+)-[0-9a-f]{32}/", k).cast("long")
+        return rows.withColumns({LSN: F.col(LSN) + number(2), "seg_id": number(1), "__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
 
-    def _deletes(self, lsn: int) -> DataFrame | None:
-        paths = [d["path"] for d in self.log.state.deletes if d["lsn"] <= lsn]
+    def _deletes(self, lsn: int, segments: list[dict]) -> DataFrame | None:
+        """The deletes that such segments have as of an LSN; those of segments that compaction has replaced are not read any more."""
+        ids = {s["seg_id"] for s in segments}
+        paths = [d["path"] for d in self.log.state.deletes if d["lsn"] <= lsn and not ids.isdisjoint(d["touched"])]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def _visible(self, lsn: int, where: Predicate | None = None) -> DataFrame:
-        """Rows as of an LSN with their places; segments that can't matter are not opened."""
+    def _live(self, lsn: int) -> list[dict]:
+        """The segments that make up the table as of an LSN."""
         state = self.log.state
         live = [s for s in state.segments.values() if s["min_lsn"] <= lsn]
         # A snapshot older than a compaction reads the segments that were there then, not their successor.
         newer = {s["seg_id"] for s in live if s.get("since", 0) > lsn}
         live = [s for s in live if s["seg_id"] not in newer]
-        live += [r["segment"] for r in state.retired if r["lsn"] > lsn and r["segment"]["min_lsn"] <= lsn and r["segment"].get("since", 0) <= lsn]
+        return live + [r["segment"] for r in state.retired if r["lsn"] > lsn and r["segment"]["min_lsn"] <= lsn and r["segment"].get("since", 0) <= lsn]
+
+    def _visible(self, lsn: int, where: Predicate | None = None) -> DataFrame:
+        """Rows as of an LSN with their places; segments that can't matter are not opened."""
+        live = self._live(lsn)
         if where is not None and live:
             kept = {r.seg_id for r in prune(self._frame(live), where).select("seg_id").collect()}
             live = [s for s in live if s["seg_id"] in kept]
         rows = self._read(live).where(F.col(LSN) <= lsn)
-        gone = self._deletes(lsn)
+        gone = self._deletes(lsn, live)
         if gone is not None:
             rows = rows.join(gone.select(*PLACE), PLACE, "left_anti")
         return rows if where is None else rows.where(where.rows())
@@ -171,6 +224,12 @@ class Table:
         rows = self._visible(head if as_of is None else min(as_of, head), where).select(*(columns or [*self.schema.names, LSN]))
         return rows if limit is None else rows.limit(limit)
 
+    def at(self, session: SparkSession, as_of: int, where: Predicate | None = None) -> DataFrame:
+        """The rows of `where` as of an LSN, in another session."""
+        other = copy.copy(self)
+        other.spark = session
+        return other._visible(as_of, where).select(*self.schema.names, LSN)
+
     def view(self, name: str, where: Predicate | None = None) -> None:
         """Makes the current snapshot a temporary view for SQL."""
         self.scan(where).createOrReplaceTempView(name)
@@ -182,7 +241,8 @@ class Table:
             raise ValueError("the table has no primary key")
         return self.primary_key
 
-    def _delete_entry(self, keys: DataFrame, lsn: int, target_lsn: int | None, strict: bool) -> tuple[str | None, int]:
+    def _delete_entry(self, keys: DataFrame, lsn: int, target_lsn: int | None, strict: bool) -> dict:
+        """Writes the places of the newest rows of the keys: a folder, if there are any, and the segments it touches."""
         names = self._need_key()
         found = locate(self._visible(self.log.state.commit), keys, names, PLACE)
         if target_lsn is not None:
@@ -194,8 +254,16 @@ class Table:
         n = seen.get["n"]
         if strict and n != keys.select(*names).distinct().count():
             self.files.delete(folder)
-            raise KeyError("Key not found at target LSN")
-        return (folder if n else None), n
+            raise KeyError(f"{n} of the keys have a row" + (f" of LSN {target_lsn}" if target_lsn is not None else ""))
+        if not n:
+            self.files.delete(folder)
+            return {}
+        return {"deletes": folder, "touched": sorted(r.seg_id for r in self.spark.read.parquet(folder).select("seg_id").distinct().collect())}
+
+    def _once(self, rows: DataFrame) -> None:
+        """One change a key, else which of them is the last would not be known."""
+        if not rows.groupBy(*self._need_key()).count().where("count > 1").isEmpty():
+            raise ValueError("several changes of one key")
 
     def delete(self, keys: DataFrame, target_lsn: int | None = None) -> int:
         """Deletes the newest row of each key, which must have `target_lsn` if that is given. A failure uses up an LSN."""
@@ -203,12 +271,12 @@ class Table:
 
         def make(lsn: int, _: int) -> dict:
             lsns.append(lsn)
-            return {"kind": "delete", "deletes": self._delete_entry(keys, lsn, target_lsn, True)[0]}
+            return {"kind": "delete"} | self._delete_entry(keys, lsn, target_lsn, True)
 
         try:
             return self._commit(make)
         except KeyError:
-            self.log.publish({"lsn": lsns[-1], "kind": "gap"})
+            self._commit(lambda lsn, _: {"kind": "gap"})
             raise
 
     def delete_key(self, *values, target_lsn: int | None = None) -> int:
@@ -218,42 +286,98 @@ class Table:
     def update(self, rows: DataFrame, target_lsn: int | None = None) -> int:
         """Replaces the newest row of each key: a delete and an append under one LSN."""
         rows = self._conform(rows)
+        self._once(rows)
+        seg = self._stage(rows)
 
         def make(lsn: int, seg_id: int) -> dict:
-            gone, _ = self._delete_entry(rows, lsn, target_lsn, True)
-            return {"kind": "update", "deletes": gone, "segments": [self._write(rows, lsn, seg_id)]}
+            gone = self._delete_entry(rows, lsn, target_lsn, True)
+            return {"kind": "update", "segments": [self._numbered(seg, seg_id, lsn)]} | gone
 
-        return self._commit(make)
+        return self._commit(make, staged=[seg])
 
     def apply_changes(self, changes: DataFrame, op: str = "op", idempotency_key: str | None = None) -> int:
         """Applies inserts, updates and deletes (column `op`), one change a key, under one LSN."""
-        self._need_key()
-        fresh = self._conform(changes.where(F.col(op) != "delete").drop(op))
+        self._once(changes)
+        known = self._known(idempotency_key)
+        if known is not None:
+            return known
+        seg = self._stage(self._conform(changes.where(F.col(op) != "delete").drop(op)))
 
         def make(lsn: int, seg_id: int) -> dict:
-            gone, _ = self._delete_entry(changes.where(F.col(op) != "insert"), lsn, None, False)
-            seg = self._write(fresh, lsn, seg_id)
-            return {"kind": "changes", "deletes": gone, "segments": [seg] if seg["rows"] else []}
-
-        return self._commit(make, idempotency_key)
+            gone = self._delete_entry(changes.where(F.col(op) != "insert"), lsn, None, False)
+            return {"kind": "changes", "segments": [self._numbered(seg, seg_id, lsn)] if seg["rows"] else []} | gone
 
-    def compact(self) -> int | None:
-        """Rewrites all live rows into one segment. Older snapshots still read the segments it replaces."""
-        old = [s["seg_id"] for s in self.log.refresh().segments.values()]
-        if not old:
-            return None
+        return self._commit(make, idempotency_key, [seg])
 
-        def make(lsn: int, seg_id: int) -> dict:
-            rows = self._visible(self.log.state.commit).select(*self.schema.names, LSN)
-            seg = self._write(rows, lsn, seg_id, keep_lsn=True) | {"since": lsn}
-            return {"kind": "compact", "segments": [seg] if seg["rows"] else [], "removed": old}
+    def compact(self, target: int = COMPACTED) -> int | None:
+        """Joins successive segments into ones of up to `target` bytes, without their deleted rows; larger segments stay unless rows of them
+        are deleted. Older snapshots still read the segments that were replaced. None if there is nothing to do."""
+        for _ in range(OVERTAKEN):
+            state = self.log.refresh()
+            head, known = state.commit, len(state.deletes)
+            touched = {i for d in state.deletes for i in d["touched"]}
+            groups, size = [], 0
+            for s in sorted(state.segments.values(), key=lambda s: s["seg_id"]):
+                if groups and size + s["bytes"] <= target:
+                    groups[-1].append(s)
+                else:
+                    groups.append([s])
+                    size = 0
+                size += s["bytes"]
+            groups = [g for g in groups if len(g) > 1 or g[0]["seg_id"] in touched]
+            if not groups:
+                return None
+            staged, removed = [], [s["seg_id"] for g in groups for s in g]
+
+            def make(lsn: int, seg_id: int) -> dict:
+                now = self.log.state
+                if len(now.deletes) != known or any(i not in now.segments for i in removed):
+                    raise Conflict("the segments have changed")
+                fresh = [self._numbered(s, seg_id + i, 0) | {"since": lsn} for i, s in enumerate(x for x in staged if x["rows"])]
+                return {"kind": "compact", "segments": fresh, "removed": removed}
 
-        return self._commit(make)
+            try:
+                for group in groups:
+                    rows = self._read(group)
+                    gone = self._deletes(head, group)
+                    rows = rows if gone is None else rows.join(gone.select(*PLACE), PLACE, "left_anti")
+                    staged.append(self._stage(rows.select(*self.schema.names, LSN)))
+            except BaseException:
+                for s in staged:
+                    self.files.delete(s["path"])
+                raise
+            try:
+                lsn = self._commit(make, staged=staged)
+            except Conflict:
+                continue  # a delete came in between: again, from what is there now
+            for s in staged:
+                if not s["rows"]:
+                    self.files.delete(s["path"])
+            return lsn
+        raise Conflict("compaction was overtaken again and again")
 
     # Keys
 
+    def _fits(self, values: tuple) -> bool:
+        """Whether the values are as many as the key's columns and of their kinds. Others have no rows; they are not cast."""
+        kinds = {"string": str, "boolean": bool, "double": float, "float": float, "date": datetime.date, "binary": (bytes, bytearray)} | dict.fromkeys(("tinyint", "smallint", "int", "bigint"), int)
+        names = self._need_key()
+        if len(values) != len(names):
+            return False
+        for name, value in zip(names, values, strict=True):
+            kind = kinds.get(self.schema[name].dataType.simpleString())
+            if value is None or (kind and (not isinstance(value, kind) or (kind is int and isinstance(value, bool)))):
+                return False
+        return True
+
     def lookup(self, *values) -> DataFrame:
-        return L.lookup(self.snapshot(), self._need_key(), values)
+        """The newest row of a key. Only segments whose statistics may have the key are opened, and in them the row groups whose bloom
+        filter may. A key of other types than the key's columns, or with a null, has no row."""
+        names = self._need_key()
+        if not self._fits(values):
+            return self.snapshot(0).limit(0)
+        where = All(tuple(Compare(k, "=", v) for k, v in zip(names, values, strict=True)))
+        return L.lookup(self._visible(self.head(), where).select(*self.schema.names, LSN), names, values)
 
     def exists(self, *values) -> bool:
         """Exact. The bloom filter answers for most keys that are absent."""
@@ -261,8 +385,11 @@ class Table:
 
     def might_exist(self, *values) -> bool:
         names, head = self._need_key(), self.head()
+        if not self._fits(values):
+            return False
         if self._filter is None or self._filter[0] != head:
-            self._filter = head, KeyFilter.build(self.snapshot(), names)
+            rows = sum(s["rows"] for s in self._live(head))
+            self._filter = head, KeyFilter.build(self.snapshot(), names, min(MAX_FILTERED, max(1000, rows)))
         probe = self.spark.createDataFrame([values], T.StructType([T.StructField(n, self.schema[n].dataType) for n in names]))
         return self._filter[1].might_contain(probe, names)[0]
 
@@ -284,6 +411,8 @@ class Table:
         for f in whole.fields:
             if S.comparable(f.dataType):
                 kinds |= {f"min_{f.name}": f.dataType.simpleString(), f"max_{f.name}": f.dataType.simpleString(), f"nulls_{f.name}": "long"}
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                kinds[f"nans_{f.name}"] = "long"
         rows = [[None if s.get(k) is None else str(s[k]) for k in kinds] for s in sorted(segments, key=lambda s: s["seg_id"])]
         frame = self.spark.createDataFrame(rows, T.StructType([T.StructField(k, T.StringType()) for k in kinds]))
         return frame.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in kinds.items()])

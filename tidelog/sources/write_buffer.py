@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections import deque
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -14,13 +17,16 @@ from tidelog.sources.table import Table
 class WriteBuffer:
     """Holds plans, not rows: a batch is a DataFrame until its buffer is flushed.
 
-    `append` waits while `config.total` bytes are neither flushed nor given up, so something else has to flush meanwhile.
+    `append` waits while `config.total` bytes are neither flushed nor given up, so something else has to flush meanwhile: `running`
+    does so from a thread of its own, each `config.interval_ms`.
     """
 
     def __init__(self, config: BufferConfig | None = None) -> None:
         self.config = config or BufferConfig()
         self._open: list[tuple[DataFrame, int]] = []
-        self._frozen: deque[list[tuple[DataFrame, int]]] = deque()
+        self._frozen: deque[tuple[str, list[tuple[DataFrame, int]]]] = deque()
+        self._flushing = threading.Lock()
+        self.failure: Exception | None = None
         self._held = 0
         self._room = threading.Condition()
 
@@ -41,22 +47,49 @@ class WriteBuffer:
         with self._room:
             if not self._open:
                 return False
-            self._frozen.append(self._open)
+            self._frozen.append((f"buffer-{uuid.uuid4().hex}", self._open))
             self._open = []
             return True
 
     def flush(self, table: Table) -> list[int]:
-        """Writes the oldest frozen buffer as one segment; the batches' LSNs. A buffer whose write fails stays first in the queue."""
-        with self._room:
-            if not self._frozen:
-                return []
-            buffer = self._frozen[0]
-        lsns = table.append_many([b for b, _ in buffer])
-        with self._room:
-            self._frozen.popleft()
-            self._held -= sum(s for _, s in buffer)
-            self._room.notify_all()
-        return lsns
+        """Writes the oldest frozen buffer as one segment; the batches' LSNs. A buffer whose write fails stays first in the queue; one whose
+        write came through unnoticed is recognised by its name and not appended again."""
+        with self._flushing:
+            with self._room:
+                if not self._frozen:
+                    return []
+                name, buffer = self._frozen[0]
+            lsns = table.append_many([b for b, _ in buffer], name)
+            with self._room:
+                self._frozen.popleft()
+                self._held -= sum(s for _, s in buffer)
+                self._room.notify_all()
+            return lsns
+
+    @contextmanager
+    def running(self, table: Table) -> Iterator[WriteBuffer]:
+        """Freezes and flushes what has gathered each `config.interval_ms` until the block ends, and then all that is left. A failed
+        flush is tried again at the next turn; the last failure is kept in `failure` until a flush succeeds."""
+        stop = threading.Event()
+
+        def turn() -> None:
+            while not stop.wait(self.config.interval_ms / 1000):
+                self.freeze()
+                try:
+                    while self.frozen and not stop.is_set():
+                        self.flush(table)
+                        self.failure = None
+                except Exception as error:  # noqa: BLE001  the thread goes on; what failed stays in the queue
+                    self.failure = error
+
+        thread = threading.Thread(target=turn, daemon=True)
+        thread.start()
+        try:
+            yield self
+        finally:
+            stop.set()
+            thread.join()
+            self.close(table)
 
     def close(self, table: Table) -> None:
         """Freezes and flushes all that is left."""
