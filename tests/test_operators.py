@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 
 import pyarrow as pa
 import pytest
@@ -14,6 +15,7 @@ from tidelog.functions import schema as schemas
 from tidelog.functions.keys import KeyFilter, bloom_bits, bloom_hashes
 from tidelog.functions.partition import PartitionField, PartitionSpec
 from tidelog.operators import stats
+from tidelog.operators.asof import asof_join
 from tidelog.operators.buffer import BufferConfig, TableConfig, freeze_plan, lag, lsn_ranges
 from tidelog.operators.lsn import LsnManager
 from tidelog.sources.arrow_ipc import read_arrow, write_arrow
@@ -41,18 +43,18 @@ def test_freeze_plan_and_ranges(spark):
     assert [(r.start_lsn, r.end_lsn) for r in lsn_ranges(batches.select("batch", "rows")).orderBy("batch").collect()][:3] == [(1, 10), (11, 30), (31, 60)]
 
 
-@pytest.mark.parametrize("start, end, hit", [(150, 160, True), (50, 100, True), (200, 250, True), (0, 99, False), (201, 300, False), (0, 500, True)])
+@pytest.mark.parametrize("start, end, hit", [(41, 43, True), (-5, 37, True), (58, 90, True), (0, 36, False), (59, 60, False), (-1, 1000, True), (37, 58, True), (40, 40, True)])
 def test_overlap_truth_table(spark, start, end, hit):
-    seg = spark.createDataFrame([(100, 200, 1000, 2000)], "min_time long, max_time long, min_lsn long, max_lsn long")
+    seg = spark.createDataFrame([(37, 58, 7, 19)], "min_time long, max_time long, min_lsn long, max_lsn long")
     assert seg.where(stats.overlaps_time(F.lit(start), F.lit(end))).isEmpty() is not hit
-    for lsn, inside in ((999, False), (1000, True), (1500, True), (2000, True), (2001, False)):
+    for lsn, inside in ((6, False), (7, True), (12, True), (19, True), (20, False)):
         assert seg.where(stats.contains_lsn(lsn)).isEmpty() is not inside
 
 
 def test_segment_index_ranges(spark):
-    seg = spark.createDataFrame([(i, (i - 1) * 100, i * 100) for i in range(1, 5)], "seg_id long, min_time long, max_time long")
+    seg = spark.createDataFrame([(1, -8, 3), (2, 2, 9), (3, 10, 10), (4, None, None), (5, 30, 44)], "seg_id long, min_time long, max_time long")
     find = lambda a, b: [r.seg_id for r in seg.where(stats.overlaps_time(F.lit(a), F.lit(b))).orderBy("seg_id").collect()]
-    assert find(150, 250) == [2, 3] and find(-100, -50) == [] and find(-100, 500) == [1, 2, 3, 4]
+    assert find(3, 10) == [1, 2, 3, 4] and find(11, 29) == [4] and find(-99, -9) == [4] and find(9, 30) == [2, 3, 4, 5], "an unknown range may hold any time"
 
 
 def test_bloom():
@@ -184,3 +186,42 @@ def test_lsn_manager():
     m.mark_committed(20)
     assert (m.flushed, m.committed, m.pending_flush, m.pending_commit) == (50, 20, 51, 30)
     assert LsnManager(8).assign() == (8, 8)
+
+
+def murmur3_of_long(value, seed=42):
+    """Spark's hash of a long, from its definition: MurmurHash3 x86 32-bit over the two halves."""
+    mask = 0xFFFFFFFF
+    rotate = lambda x, r: (x << r | x >> (32 - r)) & mask
+    h = seed
+    for k in (value & mask, value >> 32 & mask):
+        k = rotate(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (rotate(h ^ k, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_buckets_as_murmur3(spark):
+    values = [0, 1, -1, 42, 10**12, -(10**15), 2**63 - 1]
+    frame = spark.createDataFrame([(v,) for v in values], "n long")
+    got = [r.p for r in frame.select(PartitionField("n", "bucket[16]", "p").column(frame.schema)).collect()]
+    assert got == [murmur3_of_long(v) % 16 for v in values]
+
+
+@pytest.mark.parametrize("forward, exact", [(False, True), (False, False), (True, True), (True, False)])
+def test_asof_join_as_brute_force(spark, forward, exact):
+    rng = random.Random(forward * 2 + exact)
+    left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), i) for i in range(60)]
+    right = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), 1000 + i) for i in range(40)]
+    frames = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, t long, j long")
+    got = {r.i: r.j for r in asof_join(*frames, ["k"], "t", forward, exact).collect()}
+    want = {}
+    for k, t, i in left:
+        fits = [(-u if forward else u, j) for l, u, j in right if l == k and k is not None and u is not None and t is not None and ((u > t if forward else u < t) or (exact and u == t))]
+        want[i] = max(fits)[1] if fits else None
+    assert got == want
+    assert asof_join(frames[0].limit(0), frames[1], ["k"], "t").count() == 0
+    with pytest.raises(ValueError):
+        asof_join(frames[0], frames[0], ["k"], "t")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +61,28 @@ class TableConfig:
 def freeze_plan(batches: DataFrame, config: BufferConfig) -> DataFrame:
     """`batches` (batch, rows, bytes) with the buffer each lands in: a buffer is frozen once it is full.
 
-    One row for each batch of a table's log is folded in order, so this runs over metadata, not over rows.
+    Where a buffer ends depends on where the one before ended, so the batches are folded in order, in one pass that holds
+    one record batch at a time. These are a row for each batch of a table's log: metadata, not the table's rows.
     """
-    start = F.struct(F.array().cast("array<struct<batch:bigint,buffer:bigint>>").alias("out"), F.lit(0).cast("long").alias("buffer"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("count"))
 
-    def step(acc, b):
-        size, count = acc["size"] + b["bytes"], acc["count"] + 1
-        full = (size >= config.size) | (count >= config.batches)
-        zero = F.lit(0).cast("long")
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(b["batch"].alias("batch"), acc["buffer"].alias("buffer")))).alias("out"),
-            (acc["buffer"] + F.when(full, 1).otherwise(0)).cast("long").alias("buffer"),
-            F.when(full, zero).otherwise(size).alias("size"),
-            F.when(full, zero).otherwise(count).alias("count"),
-        )
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = size = count = 0
+        for part in parts:
+            out = []
+            for own in part.column(1).to_pylist():
+                out.append(buffer)
+                size, count = size + own, count + 1
+                if size >= config.size or count >= config.batches:
+                    buffer, size, count = buffer + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int64())], names=["batch", "buffer"])
 
-    ordered = batches.agg(F.sort_array(F.collect_list(F.struct(F.col("batch").cast("long").alias("batch"), F.col("bytes").cast("long").alias("bytes")))).alias("b"))
-    placed = ordered.select(F.explode(F.aggregate("b", start, step, lambda acc: acc["out"])).alias("x")).select("x.batch", "x.buffer")
-    return batches.join(placed, "batch")
+    ordered = batches.select(F.col("batch").cast("long").alias("batch"), F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes")).repartition(1).sortWithinPartitions("batch")
+    return batches.join(ordered.mapInArrow(fold, "batch long, buffer long"), "batch")
 
 
 def lsn_ranges(batches: DataFrame) -> DataFrame:
-    """`batches` (batch, rows) with the inclusive range of LSNs that numbering their rows would take."""
+    """`batches` (batch, rows) with the inclusive range of LSNs that numbering their rows would take. One row a batch of the log, so
+    a running sum in one task."""
     from pyspark.sql import Window
 
     end = F.sum("rows").over(Window.orderBy("batch"))

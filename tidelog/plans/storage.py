@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tidelog.functions.partition import PartitionField, PartitionSpec
 from tidelog.operators.buffer import BufferConfig
-from tidelog.operators.prune import Between
+from tidelog.operators.prune import Between, Compare
 from tidelog.plans.base import query, table
 from tidelog.sources.arrow_ipc import read_arrow, write_arrow
 from tidelog.sources.catalog import Catalog
+from tidelog.sources.table import Table
 from tidelog.sources.workspace import workspace
 from tidelog.sources.write_buffer import WriteBuffer
 from tidelog.streaming.ingest import file_stream, write_stream
@@ -120,3 +123,46 @@ def arrow_ipc_round_trip(spark, sf_dir):
     return read_arrow(spark, f"{root}/ipc", rows.schema)
 
 
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def table_compacted_concurrent(spark, sf_dir):
+    """A compaction and an append run side by side; whichever comes first, each row is there once."""
+    rows = table(spark, sf_dir, "events").select(*COLUMNS)
+    n = max(1, rows.count())
+    made = Catalog(spark, workspace(spark)).create_table("events", rows.schema, "primary_key", ["event_id"])
+    for k in range(3):
+        made.append(rows.where(F.expr(f"event_id * 4 div {n}") == k))
+    with ThreadPoolExecutor(2) as pool:
+        running = pool.submit(Table(spark, made.path, made.schema, made.primary_key).compact)
+        made.append(rows.where(F.expr(f"event_id * 4 div {n}") == 3))
+        running.result()
+    return made.snapshot().select(*COLUMNS)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events WHERE event_id % 7 = 0 OR value > 50")
+def prune_nan(spark, sf_dir):
+    """NaN is larger than any number, so segments with NaN are kept whatever their maximum."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value"))
+    n = max(1, rows.count())
+    made = Catalog(spark, workspace(spark)).create_table("events", rows.schema)
+    for k in range(4):
+        made.append(rows.where(F.expr(f"event_id * 4 div {n}") == k))
+    return made.scan(Compare("value", ">", 50.0), ["event_id", "value"])
+
+
+@query(f"{_N} SELECT * FROM t WHERE event_id = 123")
+def table_lookup(spark, sf_dir):
+    return _filled(spark, sf_dir)[1].lookup(123)
+
+
+@query(f"{_N} SELECT event_type, count(*) AS n, min(__lsn) AS first_lsn FROM t WHERE event_id BETWEEN 100 AND 2000 AND value > 1 GROUP BY event_type")
+def table_sql_pruned(spark, sf_dir):
+    """The condition in SQL reaches the statistics: segments out of its range are not opened."""
+    rows = table(spark, sf_dir, "events").select(*COLUMNS)
+    n = max(1, rows.count())
+    catalog = Catalog(spark, workspace(spark))
+    made = catalog.create_table("ns.events", rows.schema)
+    for k in range(4):
+        made.append(rows.where(F.expr(f"event_id * 4 div {n}") == k))
+    return catalog.sql("SELECT event_type, count(*) AS n, min(__lsn) AS first_lsn FROM ns.events WHERE event_id BETWEEN 100 AND 2000 AND value > 1 GROUP BY event_type")

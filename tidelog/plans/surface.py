@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.partition import PartitionField, PartitionSpec
+from tidelog.operators.asof import asof_join
 from tidelog.plans.base import query, table
 
 
@@ -137,3 +139,63 @@ def sessions(spark, sf_dir):
     rows = rows.withColumn("new", F.coalesce((F.col("ts") > F.lag("ts").over(w) + F.expr("INTERVAL 12 HOURS")).cast("int"), F.lit(1)))
     rows = rows.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("user_id", "k").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("k")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, json_type(props, '$.k') IS NOT NULL AS has_k FROM events")
+def sql_json_fields(spark, sf_dir):
+    fields = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("f"))
+    return fields.select("event_id", "f.k", F.col("f.k").isNotNull().alias("has_k"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, coalesce(count(*) FILTER (event_type = 'click'), 0) AS clicks FROM events GROUP BY user_id")
+def sql_maps(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return maps.select("user_id", F.size("m").cast("long").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).cast("long").alias("clicks"))
+
+
+@query("SELECT event_id, round(value * 1.19 + length(event_type), 6) AS gross FROM events")
+def sql_udf(spark, sf_dir):
+    """A vectorised user function, registered for SQL in a session of its own."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(key, spark.conf.get(key))
+
+    def gross(value: pd.Series, kind: pd.Series) -> pd.Series:
+        return value * 1.19 + kind.str.len()
+
+    session.udf.register("gross", F.pandas_udf(gross, "double"))
+    table(session, sf_dir, "events").createOrReplaceTempView("events")
+    return session.sql("SELECT event_id, round(gross(value, event_type), 6) AS gross FROM events")
+
+
+@query(
+    "WITH s AS (SELECT event_type, time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL (2 * k) HOUR AS start FROM events, range(0, 3) t(k))"
+    " SELECT start, event_type, count(*) AS n FROM s GROUP BY 1, 2"
+)
+def sliding_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    found = rows.groupBy(F.window("t", "6 hours", "2 hours"), "event_type").agg(F.count("*").alias("n"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    "SELECT e.event_id, v.event_id AS before_id, v.value AS before_value FROM (SELECT * FROM events WHERE event_type = 'error') e"
+    " ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts"
+)
+def asof_join_backward(spark, sf_dir):
+    """Each error with the last view of its user before it."""
+    rows = table(spark, sf_dir, "events")
+    views = rows.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("before_id"), F.col("value").alias("before_value"))
+    return asof_join(rows.where("event_type = 'error'"), views, ["user_id"], "ts").select("event_id", "before_id", "before_value")
+
+
+@query(
+    "SELECT e.event_id, v.event_id AS next_id FROM (SELECT * FROM events WHERE event_type = 'error') e"
+    " ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') v ON e.user_id = v.user_id AND e.ts < v.ts"
+)
+def asof_join_forward(spark, sf_dir):
+    """Each error with the first click of its user after it, if there is one."""
+    rows = table(spark, sf_dir, "events")
+    clicks = rows.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("next_id"))
+    return asof_join(rows.where("event_type = 'error'"), clicks, ["user_id"], "ts", forward=True, exact=False).where("next_id IS NOT NULL").select("event_id", "next_id")
