@@ -111,9 +111,9 @@ def sql_arrays(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("kinds")).select("user_id", F.array_join("kinds", ",").alias("kinds"), F.size("kinds").alias("n"))
 
 
-@query("SELECT vec_id, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) AS x FROM embeddings, range(0, 4) t(i)")
+@query("SELECT vec_id, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)")
 def sql_unnest(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     return rows.withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 

@@ -66,11 +66,10 @@ def cdc_change_log(spark, sf_dir):
     return cdc.apply_changes(rows, log, ["o_orderkey"])
 
 
-@query(f"{E} SELECT user_id, max(event_id) AS event_id, max(__lsn) AS __lsn FROM e WHERE user_id < 20 GROUP BY user_id")
+@query(f"{E} SELECT user_id, max(event_id) AS event_id, max(__lsn) AS __lsn FROM e GROUP BY user_id")
 def cdc_locate_newest(spark, sf_dir):
     rows = events(spark, sf_dir)
-    wanted = rows.where("user_id < 20").select("user_id")
-    return cdc.locate(rows, wanted, ["user_id"], ["event_id"]).select("user_id", "event_id", "__lsn")
+    return cdc.locate(rows, rows.select("user_id"), ["user_id"], ["event_id"]).select("user_id", "event_id", "__lsn")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
