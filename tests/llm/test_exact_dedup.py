@@ -41,26 +41,38 @@ def check(found, rows):
     assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
 
 
-@pytest.mark.parametrize("batches", [1, 6])
-def test_as_brute_force(spark, docs, batches):
-    check(D.exact_dedup(spark, docs, batches=batches), table())
+@pytest.mark.parametrize("batches, most", [(1, 0), (6, 100)])
+def test_as_brute_force(spark, docs, batches, most):
+    check(D.exact_dedup(spark, docs, batches=batches, most=most), table())
 
 
-def test_digests_that_collide_are_told_apart_by_bytes(spark, docs):
+@pytest.mark.parametrize("most", [0, 100])
+def test_digests_that_collide_are_told_apart_by_bytes(spark, docs, most):
     weak = lambda text: F.substring(D.sha256(text), 1, 1)
-    _, found = D.resolve(spark, docs, digest=lambda t: F.when(F.length(t) > 3, F.unhex(F.lit("00"))).otherwise(weak(t)))
+    _, found = D.resolve(spark, docs, digest=lambda t: F.when(F.length(t) > 3, F.unhex(F.lit("00"))).otherwise(weak(t)), most=most)
     rows = found.select(F.col("__id"), F.col("best.id"), F.col("n"), ((F.col("__file") == F.col("best.file")) & (F.col("__row") == F.col("best.row"))).alias("kept")).collect()
     assert sorted(((r[0], r[1], r[2]) for r in rows), key=str) == sorted((w[:3] for w in want(table())), key=str)
     assert sum(r.kept for r in rows) == len({t or "" for _, t, *_ in table()})
 
 
-def test_drop_copies_keeps_columns_and_one_row_of_each(spark, docs):
-    kept = D.drop_copies(spark, docs)
+@pytest.mark.parametrize("most", [0, 1000])
+def test_drop_copies_keeps_columns_and_one_row_of_each(spark, docs, most):
+    kept = D.drop_copies(spark, docs, most=most)
     assert kept.columns == docs.columns
     texts = [r.text or "" for r in kept.collect()]
     assert len(texts) == len(set(texts)) == len({t or "" for _, t, *_ in table()})
 
 
+def test_texts_without_copies_are_not_shuffled(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 50) AS text").write.parquet(str(tmp_path / "d"))
+    written = []
+    monkeypatch.setattr(D, "keep", lambda s, frame, path, real=D.keep: written.append((path, frame)) or real(s, frame, path))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    assert D.exact_dedup(spark, rows).filter("kept").count() == 2000
+    check_ = next(f for p, f in written if p.endswith("collisions"))
+    assert "BroadcastHashJoin" in check_._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_rows_not_read_from_files_and_empty_table(spark):
     rows = [(1, "x"), (2, "x"), (3, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

@@ -5,11 +5,12 @@ the shared folder) holds for every digest the stable identifier of the document
 document's content locator (file and row) and the number of rows so far. Spark combines the rows of a digest
 within each task before it shuffles them, so that a digest with a third of all rows costs no more than others.
 Wherever the state reports a hit, full bytes are compared with the content that the locator names; texts
-that share a digest but not their bytes are grouped anew by the text itself.
+that share a digest but not their bytes are grouped anew by the text itself. Texts without a hit are not looked at again.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, a null
 doc_id being smaller than any other, and of repeated rows with that doc_id the one that is last by file and row;
-an empty table gives an empty result.
+texts of any length are compared whole, one to a row; an empty table gives an empty result. drop_copies keeps all columns; names
+that start with two underscores are this module's own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tidelog.llm.common import documents, keep, shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Micro-batches that a finite input is cut into.
 BATCHES = 4
+#: Digests with hits, and places of dropped rows, that are broadcast (up to some 200 bytes each); more of them are joined.
+BROADCAST_ROWS = 200_000
 
 
 def sha256(text: Column) -> Column:
@@ -72,7 +75,7 @@ def registry(spark: SparkSession, keys: DataFrame, path: str, batches: int = BAT
     return keep(spark, latest.select("__sha", "s.n", "s.best"), f"{path}/registry")
 
 
-def resolve(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def resolve(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, batches: int = BATCHES, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """The rows of `docs` with __file and __row, and what becomes of each: __id, __file, __row, __sha, n, best."""
     path = shared_dir(spark)
     rows = located(spark, docs, path)
@@ -82,11 +85,13 @@ def resolve(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     groups = registry(spark, keys, path, batches)
 
     # Full bytes of every hit: rows of a digest that have the very text at the state's locator are all the state has
-    # counted, unless another text shares the digest. Equal texts are combined before the shuffle, so that only one row of
-    # each in a task is sent; what then meets the state is a count, whether the locator's row is among them, and no text.
+    # counted, unless another text shares the digest. Texts without a hit stay where they are, unless the hits are too many
+    # to broadcast. Equal texts are combined before the shuffle, so that only one row of each in a task is sent; what
+    # then meets the state is a count, whether the locator's row is among them, and no text.
     locator = F.xxhash64("__file", "__row")
-    texts = rows.groupBy("__sha", "__text").agg(F.count("*").alias("same"), F.max(locator).alias("high"), F.min(locator).alias("low"))
     hits = groups.filter("n > 1").select("__sha", "n", F.xxhash64("best.file", "best.row").alias("at"))
+    hit = rows.join(F.broadcast(hits.select("__sha")), "__sha", "left_semi") if hits.count() <= most else rows
+    texts = hit.groupBy("__sha", "__text").agg(F.count("*").alias("same"), F.max(locator).alias("high"), F.min(locator).alias("low"))
     differs = (F.col("same") < F.col("n")) | ~F.col("at").between(F.col("low"), F.col("high"))
     other = keep(spark, texts.drop("__text").join(hits, "__sha").filter(differs).select("__sha").distinct(), f"{path}/collisions")
     found = keys.join(groups, "__sha")
@@ -106,12 +111,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     return found.select(F.col("__id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def without(spark: SparkSession, rows: DataFrame, gone: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` without those whose places (__file, __row) are in `gone`. Texts are shuffled only where these are too many to broadcast;
+    places are unique, so nothing is skewed then."""
+    gone = keep(spark, gone.select("__file", "__row"), f"{shared_dir(spark)}/gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, ["__file", "__row"], "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, most: int = BROADCAST_ROWS, **options) -> DataFrame:
     """`docs` without the rows that exact_dedup does not keep."""
     names = docs.columns
-    rows, found = resolve(spark, docs, **options)
-    stay = found.filter((F.col("__file") == F.col("best.file")) & (F.col("__row") == F.col("best.row"))).select("__sha", "__file", "__row")
-    out = rows.join(stay, ["__sha", "__file", "__row"], "left_semi")
+    rows, found = resolve(spark, docs, most=most, **options)
+    out = without(spark, rows, found.filter((F.col("__file") != F.col("best.file")) | (F.col("__row") != F.col("best.row"))), most)
     if "_metadata" in names:
         out = out.withColumnRenamed("__own_metadata", "_metadata")
     return out.select(*names)
