@@ -12,7 +12,9 @@
 4. Each bucket gives a star for each of its components, never all pairs; the stars' components are joined.
 
 Defined results: null text counts as empty; a text without a word has the fingerprint zero; null doc_ids are
-left out of the smallest doc_id of a component unless it has no other; repeated rows are one class.
+left out of the smallest doc_id of a component unless it has no other; repeated rows are one class; a text of any length
+is read whole, its shingles' votes being counted in blocks; an empty table gives an empty result; columns beyond the two
+named have no effect, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import documents, keep, shared_dir, slices, utf8
 from tidelog.llm.components import components
-from tidelog.llm.exact_dedup import located
+from tidelog.llm.exact_dedup import located, without
 
 SHINGLE = 3
 SEED = 42
@@ -92,11 +94,29 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(groups: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """The order by group and Gray rank. Fingerprints of several words, the first one highest, have a row each."""
+    if fps.ndim == 1:
+        return np.lexsort((gray_rank(fps), groups))
+    ranks, odd = [], np.zeros(len(fps), bool)
+    for word in fps.T:
+        # After an odd number of bits the code runs backwards.
+        ranks.append(gray_rank(word) ^ np.where(odd, ~np.uint64(0), np.uint64(0)))
+        odd ^= np.bitwise_count(word) % 2 == 1
+    return np.lexsort((*reversed(ranks), groups))
+
+
+def bits(x: np.ndarray) -> np.ndarray:
+    """How many bits are set in each fingerprint."""
+    count = np.bitwise_count(x)
+    return count if x.ndim == 1 else count.sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
-    """The hierarchical index over fingerprints; every group (bucket) has a root of its own."""
+    """The hierarchical index over fingerprints of one word or several; every group (bucket) has a root of its own."""
 
     def __init__(self, groups: np.ndarray, fps: np.ndarray) -> None:
-        self.order = np.lexsort((gray_rank(fps), groups))
+        self.order = gray_order(groups, fps)
         self.fps = fps[self.order]
         groups = groups[self.order]
         n = len(fps)
@@ -111,7 +131,7 @@ class GrayIndex:
         full = ~np.uint64(0)
         self.value, shared = [], []
         for starts in self.starts:
-            low, high = np.bitwise_and.reduceat(self.fps, starts), np.bitwise_or.reduceat(self.fps, starts)
+            low, high = np.bitwise_and.reduceat(self.fps, starts, axis=0), np.bitwise_or.reduceat(self.fps, starts, axis=0)
             self.value.append(low)
             shared.append(~(low ^ high) & full)
         self.child, self.mask = [], []
@@ -124,7 +144,7 @@ class GrayIndex:
         """Pairs (query, leaf) within `limit` bits. linked: labels of leaves; what has the query's label is left out."""
         node, far = roots, np.zeros(len(queries), np.int64)
         for k in range(len(self.starts) - 1, -1, -1):
-            far = far + np.bitwise_count((self.fps[queries] ^ self.value[k][node]) & self.mask[k][node])
+            far = far + bits((self.fps[queries] ^ self.value[k][node]) & self.mask[k][node])
             stay = far <= limit
             if linked is not None:
                 low = np.minimum.reduceat(linked, self.starts[k])[node]
@@ -200,28 +220,33 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.ascontiguousarray(rest))
 
 
-def links(spark: SparkSession, classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Stars (u, v) over the distinct fingerprints `fp` of classes that differ in at most MAX_BITS bits."""
-    places = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    keys = []
-    for number, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2)):
-        bits = [F.shiftrightunsigned("fp", places[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1)) for i in (a, b)]
-        keys.append(F.lit(number << 26) + F.shiftleft(bits[0], 13) + bits[1])
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+def dealt(spark: SparkSession, rows: DataFrame, by: str, tile: int = TILE) -> DataFrame:
+    """`rows` (key, `by`, ...) dealt out by `key` and a new column `tile`, and sorted by them. Keys of one row go. A key with more
+    than `tile` rows is split into parts by a hash of `by`, any two of which meet in a tile."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     full = sizes.filter(F.col("size") > tile).withColumn("parts", F.ceil(2 * F.col("size") / F.lit(tile)).cast("long")).select("key", "parts")
     full = keep(spark, full, f"{shared_dir(spark)}/full")
     number = full.count()
     if number:
         rows = rows.join(F.broadcast(full) if number <= BROADCAST_KEYS else full, "key", "left")
-        part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        part = F.pmod(F.xxhash64(by), F.col("parts"))
         other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         rows = rows.withColumn("part", part).withColumn("other", other)
-        rows = rows.withColumn("tile", F.coalesce(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"), F.lit(0).cast("long")))
+        rows = rows.withColumn("tile", F.coalesce(F.least("part", "other") * F.col("parts") + F.greatest("part", "other"), F.lit(0).cast("long"))).drop("part", "other", "parts")
     else:
         rows = rows.withColumn("tile", F.lit(0).cast("long"))
-    dealt = rows.select("key", "tile", "fp").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return dealt.mapInArrow(_link, "u long, v long")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
+def links(spark: SparkSession, classes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Stars (u, v) over the distinct fingerprints `fp` of classes that differ in at most MAX_BITS bits."""
+    places = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    keys = []
+    for number, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2)):
+        two = [F.shiftrightunsigned("fp", places[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1)) for i in (a, b)]
+        keys.append(F.lit(number << 26) + F.shiftleft(two[0], 13) + two[1])
+    rows = dealt(spark, classes.select("fp", F.explode(F.array(*keys)).alias("key")), "fp", tile)
+    return rows.select("key", "tile", "fp").mapInArrow(_link, "u long, v long")
 
 
 def near_classes(spark: SparkSession, prints: DataFrame, path: str, tile: int = TILE) -> DataFrame:
@@ -250,9 +275,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id
     # Components are told apart by a representative fingerprint, since a doc_id may be null or repeat.
     classes = keep(spark, prints.groupBy("fp").agg(F.min(F.struct("__id", "__file", "__row")).alias("first")), f"{path}/classes")
     stars = components(spark, links(spark, classes.select("fp")), f"{path}/components")
-    rooted = classes.join(stars, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__file", "first.__row")
-    out = rows.join(stay, ["__file", "__row"], "left_semi")
+    rooted = classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    stay = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("stay")), "root").select("fp", "stay")
+    gone = prints.join(stay, "fp").filter((F.col("__file") != F.col("stay.__file")) | (F.col("__row") != F.col("stay.__row")))
+    out = without(spark, rows, gone)
     if "_metadata" in names:
         out = out.withColumnRenamed("__own_metadata", "_metadata")
     return out.select(*names)
