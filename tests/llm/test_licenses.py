@@ -65,6 +65,25 @@ def test_tags_and_notices():
     assert scan(b"GNU General Public License, version 3")[4:] == ("", "gpl,gpl-3", 0.4)
 
 
+@pytest.mark.parametrize(
+    "text, labels, score",
+    [
+        ("SPDX License Identifier: MIT", "mit", 1.0),
+        ("spdx_license identifier : (MIT OR GPL-3.0-only)", "gpl-3,mit", 1.0),
+        ("SPDX-License-Identifier: MIT.", "mit", 1.0),
+        ("SPDX-License-Identifier: Apache-2.0.\nSPDX-License-Identifier: GPL-2.0", "apache-2,gpl-2", 0.4),
+        ("the SPDX license identifier is a tag", "", 0.0),
+        ("é SPDX-License-Identifier: MIT é", "mit", 1.0),
+        ("SPDX-License-Identifier:", "", 0.0),
+        ("SPDX-License-Identifier", "", 0.0),
+        ("spdx license spdx-license-identifier: CC0-1.0 -->", "cc0", 1.0),
+        ("x " * 30_000 + "SPDX-License-Identifier: ISC", "isc", 1.0),
+    ],
+)
+def test_expressions_are_read_where_the_automaton_finds_their_tag(text, labels, score):
+    assert Scanner().scan(text.encode())[5:] == (labels, score)
+
+
 def test_rows(spark):
     rows = [(i if i else None, t, 5) for i, t in enumerate([*TEXTS, TEXTS[3], "w, " * 100_000 + "cc by nc"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")

@@ -1,12 +1,14 @@
 """License scans: phrases and identifier tags by Aho-Corasick, licence expressions by a shunting-yard parser.
 
 A text becomes a sequence of lower-case words; one automaton finds notice phrases and identifier tags in it, and
-the expression behind a tag is parsed from the text itself. Labels are the licences found. The score is how freely
+the expression behind a tag is parsed from the text itself, from where the automaton found the tag. Labels are the licences found. The score is how freely
 the text may be used, from 0 (nothing found, or nothing known) to 1: the value of an expression is the larger one
 of an `or`, the smaller one of an `and`, and an exception (`with`) raises its licence; several findings count as `and`.
 
-Defined results: a null text counts as empty (no words, no labels, score 0); malformed expressions count as far
-as they can be read; repeated rows give repeated results; an empty table gives an empty result.
+Defined results: a null text counts as empty (no words, no labels, score 0); a null doc_id stays null; malformed expressions count
+as far as they can be read; a tag written with other separators than hyphens counts if a colon follows; repeated rows give repeated
+results; a text of any length is scanned whole, alone in its slice of a batch; an empty table gives an empty result; columns
+beyond the two named have no effect, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +46,9 @@ NOTICES = {
     "cc0 1 0 universal": "cc0",
 }
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"spdx-license-identifier[\s:]+([^\r\n]*)", re.I)
+PLAIN_TAG = TAG.replace(" ", "-").encode()
+#: What stands between a tag and its expression, which ends with the line.
+BEHIND = re.compile(rb"([\s:=]+)([^\r\n]*)")
 #: How freely a licence lets a text be used, by the start of its label; the longest start counts.
 FREEDOM = {"mit": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "bsl": 1.0, "apache": 0.95, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "cc-by-nd": 0.3, "cc-by-nc": 0.3, "agpl": 0.2}
 UNKNOWN = 0.1
@@ -81,6 +86,7 @@ def evaluate(expression: str) -> tuple[float | None, list[str]]:
         values.append(max(left, right) if op == "or" else min(left, right) if op == "and" else max(left, right))
 
     for token in re.findall(r"[A-Za-z0-9.+-]+|[()]|\S", expression):
+        token = token.rstrip(".") or token
         word = token.lower()
         if word in RANK and operand:
             while stack and stack[-1] != "(" and RANK[stack[-1]] >= RANK[word]:
@@ -122,6 +128,19 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def expressions(text: bytes, tags: list[int]) -> Iterator[str]:
+    """What follows the tags, which are given by the number of their first word."""
+    if not tags:
+        return
+    solid = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.r_[False, solid, False]))
+    for word in tags:
+        begin, end = int(edge[2 * word]), int(edge[2 * (word + TAG.count(" ")) + 1])
+        m = BEHIND.match(text, end)
+        if m and (text[begin:end].lower() == PLAIN_TAG or b":" in m[1]):
+            yield m[2].decode("utf-8", "replace")
+
+
 class Scanner:
     def __init__(self) -> None:
         self.automaton = automaton()
@@ -130,24 +149,24 @@ class Scanner:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = text.translate(WORD_BYTES).split()
         line = b" ".join([b"", *words, b""]).decode()
-        base, more, tags, places = set(), set(), False, []
+        base, more, tags, places = set(), set(), [], []
         count = at = 0
         for end, (length, label, is_base) in self.automaton.iter(line):
-            if label is None:
-                tags = True
-            elif is_base:
-                base.add(label)
+            if label is None or is_base:
                 start = end - length + 1
                 count, at = (count + line.count(" ", at, start), start) if start >= at else (line.count(" ", 0, start), start)
-                places.append(count)
+                if label is None:
+                    tags.append(count)
+                else:
+                    base.add(label)
+                    places.append(count)
             else:
                 more.add(label)
         values = [freedom(x) for x in base | more]
-        if tags:
-            for m in TAGGED.finditer(text.decode("utf-8", "replace")):
-                value, labels = evaluate(m[1])
-                more.update(labels)
-                values += [] if value is None else [value]
+        for expression in expressions(text, tags):
+            value, labels = evaluate(expression)
+            more.update(labels)
+            values += [] if value is None else [value]
         if not base and not more:
             return len(words), 0, None, None, "", "", 0.0
         first, last = (min(places), max(places)) if places else (None, None)
