@@ -6,16 +6,18 @@ decoding then picks the best states of all nodes together: along any path from t
 article, then in it, then in something left out of it, and never go back. So nothing inside an advert within an
 article is kept, and no article starts inside another's footer.
 
-The trees are fitted to generated pages of many layouts (TRAINING_PAGES of them, from a fixed seed), whose article
-is known. They are fitted once in the driver and sent with the tasks.
+The trees are fitted to generated pages of many layouts (TRAINING_PAGES of them, and UNNAMED_PAGES that tell nothing by their
+tags or attributes, from a fixed seed), whose article is known. They are fitted once in the driver and sent with the tasks.
 
-Defined results: null html counts as empty; a page without an article gives an empty text; repeated rows give
-repeated results; an empty table gives an empty result.
+Defined results: null html counts as empty; a page without an article gives an empty text; a null page_id or url stays null;
+repeated rows give repeated results; a page of any length or depth is read whole, alone in its slice of a batch; an empty
+table gives an empty result; columns beyond the three named have no effect, whatever their names.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +31,7 @@ from tidelog.llm.common import slices
 from tidelog.llm.dom import Node, features, parse, text_of
 
 TRAINING_PAGES = 400
+UNNAMED_PAGES = 300
 SEED = 11
 BEFORE, IN, OUT = range(3)
 
@@ -134,9 +137,33 @@ class Layouts:
         return f"<!DOCTYPE html><html><head><title>{self.prose(2, 12)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
 
 
-def labelled(pages: int, seed: int) -> Iterator[tuple[list[Node], np.ndarray, np.ndarray]]:
+class Unnamed(Layouts):
+    """The same pages built from `div`, tables, or names that mean nothing, as tools make them: only text and links tell what is what."""
+
+    NAMED = re.compile(r"<(/?)(article|main|nav|header|footer|aside|section)\b")
+    ATTRIBUTE = re.compile(r' (class|id)="[^"]*"')
+
+    def hashed(self, _: re.Match) -> str:
+        return f' class="{self.r.choice(["css-", "_", "sc-", ""])}{self.r.getrandbits(28):x}"'
+
+    def page(self) -> str:
+        r, text = self.r, super().page()
+        if r.random() < 0.7:
+            text = self.ATTRIBUTE.sub(self.hashed, text)
+        kind = r.random()
+        if kind < 0.5:
+            return self.NAMED.sub(r"<\1div", text)
+        if kind < 0.75:
+            text = self.NAMED.sub(r"<\1div", text)
+            head, _, body = text.partition("<body>")
+            cells = "".join(f"<td{self.attribute('left', 'col', 'x')}>{x}</td>" for x in (self.menu(), body.replace("</body></html>", ""), self.sidebar()))
+            return f"{head}<body><table><tr>{self.NAMED.sub(r'<\1div', cells)}</tr></table></body></html>"
+        return text
+
+
+def labelled(pages: int, seed: int, layouts: type[Layouts] = Layouts) -> Iterator[tuple[list[Node], np.ndarray, np.ndarray]]:
     """Nodes, features and labels of generated pages; marks are taken out of the text first."""
-    made = Layouts(seed)
+    made = layouts(seed)
     for _ in range(pages):
         nodes = parse(made.page())
         own = np.array([any(x.__class__ is str and made.MARK in x for x in n.content) for n in nodes])
@@ -153,7 +180,7 @@ def labelled(pages: int, seed: int) -> Iterator[tuple[list[Node], np.ndarray, np
 
 @cache
 def model(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
-    found = list(labelled(pages, seed))
+    found = [*labelled(pages, seed), *labelled(UNNAMED_PAGES, seed + 1, Unnamed)]
     x, y = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]).astype(float)
     weight = np.concatenate([[1.0 if n.chars else 0.3 for n in f[0]] for f in found])
     return Boosted().fit(x, y, weight)
