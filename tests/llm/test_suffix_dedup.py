@@ -75,35 +75,71 @@ def test_rows_as_brute_force(spark, tmp_path, seed):
     assert sorted(map(tuple, S.suffix_dedup(spark, docs).collect())) == brute(rows)
 
 
-@pytest.mark.parametrize("many", [1, 2, 10**6])
-def test_blocks_flushes_and_crowded_anchors(monkeypatch, many):
+@pytest.mark.parametrize("crowded, piece", [(1, 1 << 18), (2, 400), (4, 1500), (10**6, 300), (10**6, 1 << 18)])
+def test_blocks_flushes_pieces_and_crowded_anchors(monkeypatch, crowded, piece):
     monkeypatch.setattr(S, "BLOCK", 700)
     monkeypatch.setattr(S, "FLUSH", 50)
-    monkeypatch.setattr(S, "MANY", many)
+    monkeypatch.setattr(S, "CROWDED", crowded)
+    monkeypatch.setattr(S, "PIECE", piece)
     rows = [*corpus(3)[:40], (1000, " ".join(t or "" for _, t in corpus(4)[:60]))]
     batches = [S.pa.RecordBatch.from_pydict({"__key": [r[0] for r in rows], "__text": [r[1] for r in rows]})]
-    table = S.pa.Table.from_batches(list(S._resolve(S._scan(3)(iter(batches))))).to_pandas()
+    scanned = S.pa.Table.from_batches(list(S._scan(3)(iter(batches)))).sort_by("bucket")
+    table = S.pa.Table.from_batches(list(S._resolve(iter(scanned.to_batches(7))))).to_pandas()
     lists = [[(r.kind, r.anchor, r.start, r.stop) for r in table[(table.key == k) & table.kind.isin([S.STRINGS, S.APART])].itertuples()] for k, _ in rows]
     struct = S.pa.list_(S.pa.struct([("kind", S.pa.int32()), ("anchor", S.pa.int64()), ("start", S.pa.int64()), ("stop", S.pa.int64())]))
     batch = S.pa.RecordBatch.from_arrays([S.pa.array([r[0] for r in rows]), S.pa.array([r[1] for r in rows]), S.pa.array([[dict(zip(("kind", "anchor", "start", "stop"), x, strict=True)) for x in lst] for lst in lists], struct)], names=["__key", "__text", "list"])
-    fetched = S.pa.Table.from_batches(list(S._fetch(iter([batch]))))
-    strings = fetched.filter(S.pa.compute.equal(fetched["kind"], S.STRINGS)).combine_chunks().to_batches()
-    found = list(S._expand(iter(strings)))
+    fetched = S.pa.Table.from_batches(list(S._fetch(iter([batch])))).to_pylist()
+    assert any(r["kind"] == S.APART for r in fetched) == (crowded < 10**6)
     covered = [(k, a, b) for t in [table[table.kind == S.REPEATS]] for k, a, b in zip(t.key, t.start, t.stop, strict=True)]
+    strings, first = [r for r in fetched if r["kind"] == S.STRINGS], {}
+    for r in sorted((r for r in fetched if r["kind"] == S.APART), key=lambda r: (r["key"], r["start"])):
+        if first.setdefault((r["anchor"], r["string"]), r) is not r:
+            covered.append((r["key"], r["start"], r["start"] + len(r["string"]) - S.LENGTH + 1))
+    strings = sorted([*strings, *first.values()], key=lambda r: r["anchor"])
+    found = list(S._expand(iter(S.pa.Table.from_pylist([{c: r[c] for c in ("anchor", "key", "start", "string")} for r in strings]).to_batches(5))))
     covered += [(k, a, b) for f in found for k, a, b in zip(*(f.column(i).to_pylist() for i in range(3)), strict=True)]
-    places = {}
-    for t in (table, fetched.to_pandas()):
-        t = t[t.kind == S.COUNTED]
-        for h, low, k, a in zip(t.anchor, t.stop, t.key, t.start, strict=True):
-            places.setdefault((h, low), []).append((k, a))
-    covered += [(k, a, a + 1) for p in places.values() for k, a in sorted(p)[1:]]
-    assert bool(places) == (many < 10**6)
     gone = {k: np.zeros(len((t or "").encode()), bool) for k, t in rows}
     for k, a, b in covered:
         gone[k][a : b - 1 + S.LENGTH] = True
     assert [int(gone[k].sum()) for k, _ in rows] == [r[2] for r in brute(rows)]
 
 
+def test_pieces_stay_small(monkeypatch):
+    """One anchor with many distinct strings goes through transforms of bounded size, and nothing is lost."""
+    monkeypatch.setattr(S, "PIECE", 20_000)
+    rng = random.Random(9)
+    gram = "common thirty-two byte long gram"
+    strings = [("".join(rng.choice("abcd") for _ in range(60)) + gram + "".join(rng.choice("abcd") for _ in range(60))).encode() for _ in range(800)]
+    strings += [s[:110] + b"!" * 42 for s in strings[:300]]
+    sizes, real = [], S.repeated
+    monkeypatch.setattr(S, "repeated", lambda data, ends: (sizes.append(len(data)), real(data, ends))[1])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    ends = np.r_[0, np.cumsum([len(s) for s in strings])]
+    n = len(strings)
+    found = list(S._compared(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), data, ends))
+    got = {(int(k), w) for key, a, b in found for k, x, y in zip(key, a, b, strict=True) for w in range(x, y)}
+    seen, want = set(), set()
+    for k, s in enumerate(strings):
+        for i in range(len(s) - 99):
+            if s[i : i + 100] in seen:
+                want.add((k, i))
+            seen.add(s[i : i + 100])
+    assert got == want and want and max(sizes) < 60_000 < len(data)
+
+
+def test_a_text_beyond_a_block_through_spark(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = prose(60)
+    long = prose(250_000) + passage + prose(190_000) + passage[5:]
+    assert len(long) > S.BLOCK + 1000
+    twins = ["".join(x[i.bit_count() & 1] for i in range(4096)) for x in ("ab", "ba")]
+    rows = [(1, prose(20) + passage + prose(9)), (2, long), (3, long[S.BLOCK - 300 : S.BLOCK + 300]), (4, twins[0]), (5, twins[1]), (6, prose(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, S.suffix_dedup(spark, docs).collect())) == brute(rows)
+
+
 def test_rows_with_crowded_anchors(spark, monkeypatch):
     """A passage quoted by most documents, in other surroundings each time."""
     rng = random.Random(7)

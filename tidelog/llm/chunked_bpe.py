@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
         decode = encoder(tokenizer).decode
         for batch in batches:
             lists = batch.column(1)
-            ends = np.r_[0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))]
+            ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))]
             texts = decode(np.asarray(lists.flatten()), ends)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode() for t in texts], pa.string())], names=["doc_id", "text"])
 

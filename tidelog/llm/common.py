@@ -7,35 +7,61 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[object, str]] = []
+_made: list[tuple[SparkSession, str]] = []
+
+
+@cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="tidelog-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under `spark.checkpoint.dir`, which every executor sees.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder takes its place.
-    The folder is removed when the driver's interpreter ends.
+    Only where the setting is absent and the master is local (tests, a single machine) a temporary folder takes its place; on a
+    cluster that is an error. The folder is removed at the end of a `scratch` block or when the driver's interpreter ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = _own_root()
     path = f"{root.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the folders made within the block at its end, so what is needed later has to be written elsewhere by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        made, _made[before:] = _made[before:], []
+        for spark, path in made:
+            _remove(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 
@@ -77,8 +103,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
     A single row may be longer; it comes alone.
     """
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64))
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

@@ -1,23 +1,28 @@
 """Removal of repeated 100-byte strings by interval expansion on a Burrows-Wheeler transform.
 
 1. Every 100-byte window of a text has an anchor, its least GRAM-byte string by hash (the leftmost of equal ones), so equal
-   windows have equal anchors. Successive windows with one anchor form a segment. Equal segments are combined within
-   each task; all but the first of them are repeats whatever else there is. What is left is dealt out by anchor.
-2. For each anchor, equal segments are combined again. Anchors with one distinct segment are done. The distinct
-   segments of the others are fetched from their texts and dealt out by anchor, as strings. An anchor that has MANY
-   distinct segments in one slice of some task's text (a passage that much of the corpus quotes, each time in other
-   surroundings) is not gathered: its segments fall apart into windows, each known by a 128-bit hash, and these are
-   aggregated like any other rows, combined within tasks first.
-3. A task sorts the suffixes of its strings by their first symbols, takes the transform, and starts from the intervals of
+   windows have equal anchors. Successive windows with one anchor form a segment. Equal segments, told by a 128-bit digest of their
+   bytes, are combined within each task; all but the first of them are repeats whatever else there is. What is left is
+   dealt out by anchor.
+2. For each anchor, equal segments are combined again. Anchors with one distinct segment are done. The distinct segments of the
+   others are fetched from their texts as strings. An anchor with very many distinct segments (a passage that much of the corpus
+   quotes, each time in other surroundings) would be too much for one task: it is not gathered, but its segments are dealt out by
+   two anchors, their windows' least and second least GRAM-byte strings, which equal windows share as well. Equal strings
+   among these are combined by their bytes.
+3. The strings of an anchor are taken together, a bounded piece of whole anchors at a time; an anchor beyond that is split by the next
+   least GRAM-byte string. The suffixes of a piece are sorted, the transform is taken, and the expansion starts from the intervals of
    suffixes that share START symbols. Breadth first, each interval is extended backwards by every symbol
    before its suffixes; the intervals of the next length are those with two suffixes at least. This stops at
    LENGTH: each interval then is a string that occurs more than once, and all its places but the first are repeats.
 4. The repeats of a text, as ranges, meet the text again and are cut out.
 
-All tables between the steps are written to the shared folder. A document's texts and ranges are the largest things a row holds.
+All tables between the steps are written to the shared folder. A document's texts and ranges are the largest things a row holds. There are as
+many buckets as the texts have PART bytes, so what a task holds does not grow with the input.
 
 Defined results: a null text counts as empty; documents of one doc_id are ordered by file and row, a null doc_id comes
-first; an empty table gives an empty result.
+first; repeated rows are documents of their own, all but the first of which go but for what is shorter than LENGTH; a text of any length is
+read whole, in blocks that overlap by a window less one byte; an empty table gives an empty result; columns beyond the two
+named have no effect, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,20 +51,27 @@ FLUSH = 1_000_000
 #: Symbols packed into the first sort key; doubling leads from there past LENGTH.
 PACKED = 7
 START = 28
-#: Distinct segments of an anchor in a slice of text from which the anchor's windows are counted one by one.
-MANY = 16
-
-
-def _hashes(data: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each string of `size` bytes, and prefix sums from which any string's hash follows."""
-    gear = np.random.default_rng(size + seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text for each bucket.
+PART = 8 << 20
+#: Distinct segments of an anchor, among those a task holds at once or in its bucket, from which it is dealt out by two anchors.
+CROWDED = 256
+#: Bytes of strings that go through one transform; beyond them an anchor is split, by up to so many least strings.
+PIECE = 3 << 18
+MAX_DEPTH = 12
+
+
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each string of `size` bytes. It only orders strings; whether they are equal is never told by it."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    gear = np.random.default_rng(size).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(gear[data] * up[: len(data)], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29)), sums
+    return h ^ (h >> np.uint64(29))
 
 
 def _slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,10 +86,10 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor, segment hash, first window, windows of each segment of the texts in `data` (at most 2 * BLOCK bytes)."""
+    """anchor, digest (two words), first window, windows of each segment of the texts in `data` (at most 2 * BLOCK bytes)."""
     if len(data) < LENGTH:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    h, sums = _hashes(data, GRAM)
+        return (*(np.zeros(0, np.uint64),) * 3, *(np.zeros(0, np.int64),) * 2)
+    h = _hashes(data, GRAM)
     place = np.uint64((1 << PLACE_BITS) - 1)
     anchor = (_slide((h & ~place) | np.arange(len(h), dtype=np.uint64), LENGTH - GRAM + 1) & place).astype(np.int64)
     edge = np.zeros(len(data) + 1, np.int32)
@@ -92,18 +106,37 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     size = np.diff(np.r_[at, len(anchor)])
     real = valid[at]
     at, size = at[real], size[real]
-    a = anchor[at]
-    _, down = powers(len(data) + 1)
-    own = (sums[at + size - 1 + LENGTH] - sums[at]) * down[at]
-    own += size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (a - at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    own ^= own >> np.uint64(31)
-    own *= np.uint64(0x94D049BB133111EB)
-    return h[a], own ^ (own >> np.uint64(32)), at, size
-
-
-def windows(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each of the windows that start at `places`."""
-    return tuple(_hashes(data, LENGTH, seed)[0][places].view(np.int64) for seed in (0, 1000))
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    own = b"".join([digest(raw[x:y]) for x, y in zip(at.tolist(), (at + size + (LENGTH - 1)).tolist(), strict=True)])
+    high, low = np.frombuffer(own, np.uint64).reshape(-1, 2).T
+    return h[anchor[at]], high, low, at, size
+
+
+def finer(data: np.ndarray, start: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows [start, stop) of `data` by the `depth` least strings of each window: a key for these, first window, windows, and the
+    number of the run it is part of. Equal windows have equal keys."""
+    h = _hashes(data, GRAM)
+    ranks = h >> np.uint64(PLACE_BITS)
+    width = LENGTH - GRAM + 1
+    spread = np.lib.stride_tricks.sliding_window_view(ranks, width) if len(ranks) >= width else np.zeros((0, width), np.uint64)
+    place = ragged(start, stop - start)
+    run = np.repeat(np.arange(len(start)), stop - start)
+    key, least = np.zeros(len(place), np.uint64), np.zeros((depth, len(place)), np.int64)
+    for i in range(0, len(place), 1 << 13):
+        some = spread[place[i : i + (1 << 13)]]
+        rows = np.arange(len(some))
+        mixed = np.zeros(len(some), np.uint64)
+        for k in range(depth):
+            found = some.argmin(axis=1)
+            least[k, i : i + len(some)] = place[i : i + (1 << 13)] + found
+            mixed = (mixed ^ ranks[place[i : i + (1 << 13)] + found]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+            some[rows, found] = np.iinfo(np.uint64).max
+        key[i : i + len(some)] = mixed
+    new = np.ones(len(place), bool)
+    new[1:] = (run[1:] != run[:-1]) | (least[:, 1:] != least[:, :-1]).any(axis=0)
+    at = np.flatnonzero(new)
+    return key[at], place[at], np.diff(np.r_[at, len(place)]), run[at]
 
 
 def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,38 +156,50 @@ def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return key[at], start[at], reach[np.r_[at[1:], len(key)] - 1]
 
 
+#: Anchor, digest (two words), key, first window, windows.
+KINDS = ("<u8", "<u8", "<u8", "<i8", "<u4", "u1")
+ROW = sum(int(k[-1]) for k in KINDS)
+
+
 def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
-    anchor, own, key, start, size = columns
-    return b"".join([anchor.astype("<u8").tobytes(), own.astype("<u8").tobytes(), key.astype("<i8").tobytes(), start.astype("<u4").tobytes(), size.astype("u1").tobytes()])
+    return b"".join(x.astype(k).tobytes() for x, k in zip(columns, KINDS, strict=True))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n = len(raw) // 29
-    kinds = (("<u8", 8), ("<u8", 8), ("<i8", 8), ("<u4", 4), ("u1", 1))
-    out, at = [], 0
-    for kind, size in kinds:
+    n, out, at = len(raw) // ROW, [], 0
+    for kind in KINDS:
         out.append(np.frombuffer(raw, kind, n, at))
-        at += n * size
+        at += n * int(kind[-1])
     return tuple(out)
 
 
 def _combine(columns: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """The first of each equal segments, sorted by anchor, and the ranges of windows of the others."""
-    anchor, own, key, start, size = columns
-    order = np.lexsort((start, key, own, anchor))
-    anchor, own, key, start, size = (x[order] for x in columns)
-    first = np.r_[True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])][: len(anchor)]
+    high, key, start, size = columns[1], *columns[3:]
+    order = np.lexsort((start, key, high, columns[0]))
+    columns = tuple(x[order] for x in columns)
+    anchor, high, low, key, start, size = columns
+    first = np.ones(len(anchor), bool)
+    first[1:] = (anchor[1:] != anchor[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     rest = ~first
     start = start.astype(np.int64)
-    return tuple(x[first] for x in (anchor, own, key, start, size)), merged(key[rest], start[rest], start[rest] + size[rest])
+    return tuple(x[first] for x in columns), merged(key[rest], start[rest], start[rest] + size[rest])
 
 
-SEGMENTS, RANGES, WINDOWS, MARKS = range(4)
+def _times(anchor: np.ndarray) -> np.ndarray:
+    """How often each element's value occurs in a sorted array."""
+    change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
+    times = np.diff(np.r_[change, len(anchor)])
+    return np.repeat(times, times)
+
+
+#: What _scan gives by bucket: segments, ranges of repeats, crowded anchors, and their segments.
+SEGMENTS, RANGES, MARKS, LOOSE = range(4)
 
 
 def _scan(parts: int):
-    """Texts (key, text) to rows (bucket, kind, blob): packed segments by anchor, ranges of repeats found here, windows of
-    anchors with many segments, and marks of these anchors."""
+    """Texts (key, text) to rows (bucket, kind, blob): packed segments by anchor, ranges of repeats found here, marks of crowded
+    anchors and the ranges of their segments."""
 
     def rows(kind: int, bucket: np.ndarray, pack) -> Iterator[tuple[int, int, bytes]]:
         order = np.argsort(bucket, kind="stable")
@@ -162,27 +207,24 @@ def _scan(parts: int):
         for b in np.flatnonzero(np.diff(limits)).tolist():
             yield b, kind, pack(order[limits[b] : limits[b + 1]])
 
-    def emit(held: list[tuple[np.ndarray, ...]], many: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    def emit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         first, repeats = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
-        found = list(rows(SEGMENTS, (first[0] % np.uint64(parts)).astype(np.int64), lambda i: _pack(tuple(x[i] for x in first))))
-        if many:
-            anchors = np.unique(np.concatenate([m[0] for m in many]))
-            found += rows(MARKS, (anchors % np.uint64(parts)).astype(np.int64), lambda i: anchors[i].tobytes())
-            # Equal windows: the first stays a candidate, the others are repeats.
-            high, low, key, start = (np.concatenate(x) for x in zip(*[m[1:] for m in many], strict=True))
-            order = np.lexsort((start, key, low, high))
-            high, low, key, start = high[order], low[order], key[order], start[order]
-            new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(high)]
-            more = merged(key[~new], start[~new], start[~new] + 1)
-            repeats = merged(*(np.r_[x, y] for x, y in zip(repeats, more, strict=True)))
-            table = np.stack([high[new], low[new], key[new], start[new]])
-            found += rows(WINDOWS, (table[0].view(np.uint64) % np.uint64(parts)).astype(np.int64), lambda i: table[:, i].astype("<i8").tobytes())
+        crowded = _times(first[0]) >= CROWDED
+        by = (first[0] % np.uint64(parts)).astype(np.int64)
+        plain = np.flatnonzero(~crowded)
+        found = list(rows(SEGMENTS, by[plain], lambda i: _pack(tuple(x[plain[i]] for x in first))))
+        if crowded.any():
+            marks = np.unique(first[0][crowded])
+            found += rows(MARKS, (marks % np.uint64(parts)).astype(np.int64), lambda i: marks[i].tobytes())
+            start = first[4][crowded].astype(np.int64)
+            loose = merged(first[3][crowded], start, start + first[5][crowded])
+            found += rows(LOOSE, loose[0] % parts, lambda i: np.stack([x[i] for x in loose]).astype("<i8").tobytes())
         if len(repeats[0]):
             found.append((int(repeats[0][0]) % parts, RANGES, np.stack(repeats).astype("<i8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many, count = [], [], 0
+        held, count = [], 0
         for batch in slices(batches, "__text", BLOCK):
             data, ends = utf8(batch.column(1))
             keys = np.asarray(batch.column(0))
@@ -190,73 +232,61 @@ def _scan(parts: int):
             for low in range(0, max(1, len(data)), BLOCK) if len(keys) == 1 else (0,):
                 part = data[low : low + BLOCK + LENGTH - 1] if len(keys) == 1 else data
                 limits = np.array([0, len(part)]) if len(keys) == 1 else ends
-                anchor, own, at, size = segments(part, limits)
+                anchor, high, digest, at, size = segments(part, limits)
                 text = np.searchsorted(limits, at, "right") - 1
-                columns = (anchor, own, keys[text], at - limits[text] + low, size.astype(np.uint8))
-                distinct = np.unique(np.stack([anchor, own]), axis=1)[0] if len(anchor) else anchor
-                crowded, times = np.unique(distinct, return_counts=True)
-                hot = np.isin(anchor, crowded[times >= MANY])
-                if hot.any():
-                    # Of equal segments only the first is taken apart; segments() goes on with the rest.
-                    once = np.zeros(len(anchor), bool)
-                    order = np.lexsort((at, keys[text], own, anchor))
-                    once[order] = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (own[order][1:] != own[order][:-1])]
-                    apart = hot & once
-                    places = ragged(at[apart], size[apart])
-                    of = np.repeat(text[apart], size[apart])
-                    many.append((anchor[apart], *windows(part, places), keys[of], places - limits[of] + low))
-                    count += len(places)
-                    # The others stay segments: the first of them in the corpus is checked again, all else are repeats.
-                    columns = tuple(x[~apart] for x in columns)
-                held.append(columns)
-                count += len(columns[0])
+                held.append((anchor, high, digest, keys[text], at - limits[text] + low, size.astype(np.uint8)))
+                count += len(anchor)
                 if count >= FLUSH:
-                    yield from emit(held, many)
-                    held, many, count = [], [], 0
+                    yield from emit(held)
+                    held, count = [], 0
         if count:
-            yield from emit(held, many)
+            yield from emit(held)
 
     return run
 
 
-#: What _resolve gives: ranges of repeats, segments to compare as strings, windows (hashes in anchor and stop), segments to take apart.
-REPEATS, STRINGS, COUNTED, APART = range(4)
+#: What _resolve gives: ranges of repeats, segments to compare as strings, and segments to deal out by two anchors.
+REPEATS, STRINGS, APART = range(3)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some buckets to (kind, anchor, key, start, stop)."""
-    held, ranges, counted, marks = [], [], [], []
+    """All rows of some buckets, bucket by bucket, to (kind, anchor, key, start, stop)."""
+
+    def out(held: list, ranges: list, loose: list, marks: list) -> Iterator[pa.RecordBatch]:
+        parts = []
+        if held:
+            first, found = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
+            ranges.append(np.stack(found))
+            times = _times(first[0])
+            apart = times >= CROWDED
+            if marks:
+                apart |= np.isin(first[0], np.concatenate(marks))
+            for kind, some in ((STRINGS, (times > 1) & ~apart), (APART, apart)):
+                anchor, _, _, key, start, size = (x[some] for x in first)
+                start = start.astype(np.int64)
+                parts.append((kind, anchor.view(np.int64), key, start, start + size))
+        for kind, some in ((APART, loose), (REPEATS, ranges)):
+            key, start, stop = merged(*np.concatenate([*some, np.zeros((3, 0), np.int64)], axis=1))
+            parts.append((kind, np.zeros(len(key), np.int64), key, start, stop))
+        for kind, *columns in parts:
+            for i in range(0, len(columns[0]), 1 << 16):
+                some = [x[i : i + (1 << 16)] for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *map(pa.array, some)], names=["kind", "anchor", "key", "start", "stop"])
+
+    bucket, own = None, ([], [], [], [])
     for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if b != bucket:
+                yield from out(*own)
+                bucket, own = b, ([], [], [], [])
             raw = blob.as_buffer()
             if kind == SEGMENTS:
-                held.append(_unpack(raw))
-            elif kind == RANGES:
-                ranges.append(np.frombuffer(raw, "<i8").reshape(3, -1))
-            elif kind == WINDOWS:
-                counted.append(np.frombuffer(raw, "<i8").reshape(4, -1))
+                own[0].append(_unpack(raw))
+            elif kind == MARKS:
+                own[3].append(np.frombuffer(raw, "<u8"))
             else:
-                marks.append(np.frombuffer(raw, "<u8"))
-    parts = []
-    if held:
-        first, found = _combine(tuple(map(np.concatenate, zip(*held, strict=True))))
-        ranges.append(np.stack(found))
-        anchor = first[0]
-        change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
-        times = np.diff(np.r_[change, len(anchor)])
-        marked = np.isin(anchor, np.concatenate(marks)) if marks else np.zeros(len(anchor), bool)
-        for kind, some in ((STRINGS, np.repeat(times > 1, times) & ~marked), (APART, marked)):
-            a, _, key, start, size = (x[some] for x in first)
-            parts.append((kind, a.view(np.int64), key, start, start + size))
-    if counted:
-        high, low, key, start = np.concatenate(counted, axis=1)
-        parts.append((COUNTED, high, key, start, low))
-    key, start, stop = merged(*np.concatenate([*ranges, np.zeros((3, 0), np.int64)], axis=1))
-    parts.append((REPEATS, np.zeros(len(key), np.int64), key, start, stop))
-    for kind, *columns in parts:
-        for i in range(0, len(columns[0]), 1 << 16):
-            some = [x[i : i + (1 << 16)] for x in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *map(pa.array, some)], names=["kind", "anchor", "key", "start", "stop"])
+                own[1 if kind == RANGES else 2].append(np.frombuffer(raw, "<i8").reshape(3, -1))
+    yield from out(*own)
 
 
 def repeated(texts: np.ndarray, ends: np.ndarray, length: int = LENGTH, start: int = START) -> tuple[np.ndarray, np.ndarray]:
@@ -328,55 +358,107 @@ def repeated(texts: np.ndarray, ends: np.ndarray, length: int = LENGTH, start: i
     return np.repeat(np.arange(len(low)), size), place
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments (anchor, key, start, string) to ranges of windows that occur earlier."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    key, start = np.asarray(table["key"]), np.asarray(table["start"])
-    strings = table["string"].combine_chunks().cast(pa.large_binary())
-    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
-    data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    ends = offsets - offsets[0]
+def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of runs of windows, one after the other, and their limits."""
+    long = size + (LENGTH - 1)
+    return data[ragged(start, long)], np.r_[0, np.cumsum(long)]
+
+
+def _later(key: np.ndarray, start: np.ndarray, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of the windows in strings (of text `key`, from its window `start` on) that occur earlier in these strings."""
     group, place = repeated(data, ends)
     text = np.searchsorted(ends, place, "right") - 1
     where = start[text] + place - ends[text]
     order = np.lexsort((where, key[text], group))
     rest = order[np.r_[False, group[order][1:] == group[order][:-1]]] if len(order) else order
-    found = merged(key[text[rest]], where[rest], where[rest] + 1)
-    for i in range(0, len(found[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in found], names=["key", "start", "stop"])
+    return merged(key[text[rest]], where[rest], where[rest] + 1)
+
+
+def _pieces(anchor: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Successive strings, sorted by anchor, in runs of whole anchors and of up to `most` bytes, unless one anchor has more."""
+    edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(ends[edge], ends[edge[i]] + most, "right")) - 1)
+        yield int(edge[i]), int(edge[j])
+        i = j
+
+
+def _compared(anchor: np.ndarray, key: np.ndarray, start: np.ndarray, data: np.ndarray, ends: np.ndarray, depth: int = 3) -> Iterator[tuple[np.ndarray, ...]]:
+    """The ranges of repeats in strings sorted by anchor, from pieces of bounded size. `depth`: of a larger anchor's next split."""
+    for a, b in _pieces(anchor, ends, PIECE):
+        if b - a == 1 or anchor[a] != anchor[b - 1] or ends[b] - ends[a] <= PIECE or depth > MAX_DEPTH:
+            if b - a > 1:
+                yield _later(key[a:b], start[a:b], data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+            continue
+        own, limits = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        sub, at, size, run = finer(own, limits[:-1], limits[1:] - (LENGTH - 1), depth)
+        order = np.argsort(sub, kind="stable")
+        sub, at, size, run = sub[order], at[order], size[order], run[order]
+        yield from _compared(sub, key[a:b][run], start[a:b][run] + at - limits[run], *_strings(own, at, size), depth + 1)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct strings (anchor, key, start, string), sorted by anchor, to ranges of windows that occur earlier."""
+
+    def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        data, ends = _bytes(table["string"].combine_chunks())
+        for found in _compared(*(np.asarray(table[c]) for c in ("anchor", "key", "start")), data, ends):
+            for i in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in found], names=["key", "start", "stop"])
+
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in slices(batches, "string", PIECE):
+        anchor = np.asarray(batch.column(0))
+        if not len(anchor):
+            continue
+        # Where an anchor begins, all before it is complete.
+        edge = np.flatnonzero(np.r_[bool(held) and anchor[0] != last, anchor[1:] != anchor[:-1]])
+        if len(edge) and size + batch.nbytes >= PIECE:
+            cut = int(edge[-1])
+            yield from out([*held, batch.slice(0, cut)])
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size, last = size + batch.nbytes, anchor[-1]
+    if held:
+        yield from out(held)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and each row's limits in them."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their segments to rows (kind, anchor, key, start, stop, string): the segments' strings, or their windows' hashes."""
+    """Texts with their segments to strings (kind, anchor, key, start, string); those of crowded anchors are split by two anchors."""
+
+    def rows(kind: int, anchor: np.ndarray, key: np.ndarray, start: np.ndarray, data: np.ndarray, limits: np.ndarray) -> pa.RecordBatch:
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *map(pa.array, (anchor, key, start)), strings.cast(pa.binary())], names=["kind", "anchor", "key", "start", "string"])
+
     for batch in slices(batches, "__text"):
         data, ends = utf8(batch.column(1))
         lists = batch.column(2)
-        rows = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+        text = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
         kind, anchor, start, stop = (np.asarray(x) for x in lists.flatten().flatten())
         keys = np.asarray(batch.column(0))
-        names = ["kind", "anchor", "key", "start", "stop", "string"]
         apart = kind == APART
-        if apart.any():
-            size = (stop - start)[apart]
-            of = np.repeat(rows[apart], size)
-            inside = ragged(start[apart], size)
-            place = ends[of] + inside
-            high, low = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-            # Block by block, so that the hashes of a long text take bounded memory.
-            for begin in range(0, len(data), BLOCK):
-                here = (place >= begin) & (place < begin + BLOCK)
-                if here.any():
-                    high[here], low[here] = windows(data[begin : begin + BLOCK + LENGTH - 1], place[here] - begin)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), COUNTED, np.int32)), pa.array(high), pa.array(keys[of]), pa.array(inside), pa.array(low), pa.nulls(len(of), pa.binary())], names=names)
-        rows, anchor, start, stop = (x[~apart] for x in (rows, anchor, start, stop))
-        size = stop - start - 1 + LENGTH
-        bytes_ = data[ragged(ends[rows] + start, size)]
-        limits = np.r_[0, np.cumsum(size)].astype(np.int64)
-        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(bytes_))])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), STRINGS, np.int32)), *map(pa.array, (anchor, keys[rows], start, stop)), strings.cast(pa.binary())], names=names)
+        begin, upto = ends[text[apart]] + start[apart], ends[text[apart]] + stop[apart]
+        # Block by block, so that the hashes of a long text take bounded memory.
+        for low in range(0, len(data), BLOCK) if apart.any() else ():
+            a, b = np.maximum(begin, low), np.minimum(upto, low + BLOCK)
+            here = a < b
+            if here.any():
+                part = data[low : low + BLOCK + LENGTH - 1]
+                sub, at, size, run = finer(part, a[here] - low, b[here] - low, 2)
+                of = text[apart][here][run]
+                yield rows(APART, sub.view(np.int64), keys[of], at + low - ends[of], *_strings(part, at, size))
+        text, anchor, start, stop = (x[~apart] for x in (text, anchor, start, stop))
+        yield rows(STRINGS, anchor, keys[text], start, *_strings(data, ends[text] + start, stop - start))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +466,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "__text"):
         data, ends = utf8(batch.column(1))
         lists = batch.column(2)
-        rows = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(lists.value_lengths(), 0)))
+        rows = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(lists.value_lengths(), 0)))
         start, stop = (np.asarray(x) for x in lists.flatten().flatten()) if len(rows) else (np.zeros(0, np.int64),) * 2
         row, start, stop = merged(rows, start, stop + LENGTH - 1)
         gone = np.zeros(len(data) + 1, np.int32)
@@ -423,22 +505,25 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     """One row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     path = shared_dir(spark)
     rows = _keyed(spark, docs, doc_id, text, path)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = rows.select("__key", "__text")
-    found = texts.mapInArrow(_scan(parts), "bucket long, kind int, blob binary").repartition(parts, "bucket").mapInArrow(_resolve, "kind int, anchor long, key long, start long, stop long")
-    found = keep(spark, found, f"{path}/segments")
+    size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART)
+    found = texts.mapInArrow(_scan(parts), "bucket long, kind int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = keep(spark, found.mapInArrow(_resolve, "kind int, anchor long, key long, start long, stop long"), f"{path}/segments")
     release(spark)
     wanted = found.filter(F.col("kind").isin(STRINGS, APART)).groupBy("key").agg(F.collect_list(F.struct("kind", "anchor", "start", "stop")).alias("list"))
-    fetched = texts.join(wanted, F.col("__key") == F.col("key")).select("__key", "__text", "list").mapInArrow(_fetch, "kind int, anchor long, key long, start long, stop long, string binary")
+    fetched = texts.join(wanted, F.col("__key") == F.col("key")).select("__key", "__text", "list").mapInArrow(_fetch, "kind int, anchor long, key long, start long, string binary")
     fetched = keep(spark, fetched, f"{path}/fetched")
     release(spark)
-    strings = fetched.filter(F.col("kind") == STRINGS).select("anchor", "key", "start", "string")
-    more = keep(spark, strings.repartition(parts, "anchor").mapInArrow(_expand, "key long, start long, stop long"), f"{path}/expanded")
-    # Windows counted one by one: of equal ones all but the first are repeats.
-    counted = found.filter(F.col("kind") == COUNTED).unionByName(fetched.filter(F.col("kind") == COUNTED).drop("string"))
-    counted = counted.select(F.col("anchor").alias("high"), F.col("stop").alias("low"), "key", "start")
-    first = counted.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).filter("n > 1")
-    again = counted.join(first, ["high", "low"]).filter(F.struct("key", "start") != F.col("first")).select("key", "start", (F.col("start") + 1).alias("stop"))
+    # Equal strings of crowded anchors: all but the first are repeats. They are combined before they are shuffled.
+    loose = fetched.filter(F.col("kind") == APART).drop("kind")
+    first = loose.groupBy("anchor", "string").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first"))
+    first = keep(spark, first, f"{path}/first")
+    again = loose.join(first.filter("n > 1"), ["anchor", "string"]).filter(F.struct("key", "start") != F.col("first"))
+    again = again.select("key", "start", (F.col("start") + F.octet_length("string") - (LENGTH - 1)).alias("stop"))
+    strings = fetched.filter(F.col("kind") == STRINGS).select("anchor", "key", "start", "string").unionByName(first.select("anchor", "first.key", "first.start", "string"))
+    more = strings.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "key long, start long, stop long")
+    more = keep(spark, more, f"{path}/expanded")
     ranges = found.filter(F.col("kind") == REPEATS).select("key", "start", "stop").unionByName(more).unionByName(again)
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("list"))
     whole = rows.join(ranges, F.col("__key") == F.col("key"), "left").select("doc_id", "__text", "list")
