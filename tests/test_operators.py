@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -21,7 +22,7 @@ from tidelog.operators.lsn import LsnManager
 from tidelog.sources.arrow_ipc import read_arrow, write_arrow
 from tidelog.sources.catalog import Catalog, Identifier, TableType
 from tidelog.sources.table import Table, Tier
-from tidelog.streaming.ingest import file_stream, windowed_counts, write_stream
+from tidelog.streaming.ingest import Progress, file_stream, windowed_counts, write_stream
 from tidelog.streaming.service import Service, WriteRequest
 
 
@@ -225,3 +226,29 @@ def test_asof_join_as_brute_force(spark, forward, exact):
     assert asof_join(frames[0].limit(0), frames[1], ["k"], "t").count() == 0
     with pytest.raises(ValueError):
         asof_join(frames[0], frames[0], ["k"], "t")
+
+
+def test_streams_report_progress_and_schemas_travel_as_ipc(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    made = catalog.create_table("s", T.StructType([T.StructField("id", T.LongType(), False), T.StructField("x", T.StringType())]))
+    found = pa.ipc.read_schema(pa.py_buffer(Service(catalog).get_schema_ipc("s")))
+    assert found.names == ["id", "x"] and found.field("id").type == pa.int64() and not found.field("id").nullable
+    spark.range(20).selectExpr("id", "'a' AS x").repartition(4).write.parquet(str(tmp_path / "in"))
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        query = write_stream(file_stream(spark, str(tmp_path / "in"), made.schema, files=1), made, str(tmp_path / "cp"), once=True)
+        query.awaitTermination()
+        limit = time.monotonic() + 20
+        while str(query.id) not in progress.errors and time.monotonic() < limit:
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(progress)
+    assert progress.rows[str(query.id)] == 20 and progress.batches[str(query.id)] >= 4 and progress.errors[str(query.id)] is None
+
+
+def test_arrow_files_load_the_wanted_columns_only(spark, tmp_path):
+    frame = spark.range(50).selectExpr("id", "cast(id AS string) AS name", "id * 2 AS twice")
+    write_arrow(frame.repartition(2), str(tmp_path / "a"))
+    found = read_arrow(spark, str(tmp_path / "a"), columns=["twice", "id"])
+    assert found.columns == ["twice", "id"] and sorted(map(tuple, found.collect())) == [(2 * i, i) for i in range(50)]

@@ -484,3 +484,19 @@ def test_a_flush_that_came_through_unnoticed_is_not_done_twice(spark, table, mon
         buffer.flush(table)
     monkeypatch.setattr(table, "append_many", real)
     assert buffer.flush(table) == [1] and ids(table.snapshot()) == [0, 1, 2] and buffer.empty
+
+
+def test_durability_is_waited_for_and_told(spark, table):
+    seen = []
+    end = table.subscribe(seen.append, every=0.02)
+    table.append(batch(spark, 0, 2))
+    table.append(batch(spark, 2, 2))
+    assert table.reached(2) is Tier.DISK and table.reached(9) is None
+    assert table.wait(1, Tier.DISK, 1) and not table.wait(1, Tier.COMMITTED, 0.05)
+    table.mark_committed(1)
+    assert table.wait(1, Tier.COMMITTED, 1) and not table.wait(2, Tier.COMMITTED, 0.05)
+    limit = time.monotonic() + 20
+    while (not seen or seen[-1].committed < 1) and time.monotonic() < limit:
+        time.sleep(0.02)
+    end()
+    assert seen[-1].committed == 1 and seen[-1].flushed >= 2 and [w.next for w in seen] == sorted(w.next for w in seen)

@@ -14,7 +14,7 @@ MB = 1 << 20
 
 @dataclass(frozen=True)
 class BufferConfig:
-    """Limits of a write buffer, and how long it waits. `total` bounds what is not flushed yet."""
+    """Limits of a write buffer, and how long it waits. `total` bounds what is not flushed yet. The presets are fixed values."""
 
     total: int = 512 * MB
     size: int = 64 * MB

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.schema import LSN
 
-#: Bytes that an index entry takes in memory and on disk.
+#: Bytes that an index entry is reckoned with in memory and on disk.
 ENTRY_BYTES, DISK_ENTRY_BYTES = 48, 84
 
 

@@ -15,10 +15,10 @@ def _files(folder: str) -> list[str]:
     return sorted(f.path for f in found if f.is_file and f.path.endswith(".arrow"))
 
 
-def read_arrow(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+def read_arrow(spark: SparkSession, folder: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """All `.arrow` files under a folder, one task a file at most; batches go to Spark as they are.
 
-    The schema is the first file's unless given. Unsigned 64-bit columns come as decimals.
+    The schema is the first file's unless given. Unsigned 64-bit columns come as decimals. With `columns`, only these are loaded.
     """
     paths = _files(folder)
     if schema is None:
@@ -30,7 +30,7 @@ def read_arrow(spark: SparkSession, folder: str, schema: str | None = None) -> D
         found = pa.schema([pa.field(x.name, pa.decimal128(20, 0) if x.type == pa.uint64() else x.type, x.nullable) for x in found])
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        schema = from_arrow_schema(found)
+        schema = from_arrow_schema(found if columns is None else pa.schema([found.field(c) for c in columns]))
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +39,14 @@ def read_arrow(spark: SparkSession, folder: str, schema: str | None = None) -> D
             for path in batch.column(0).to_pylist():
                 with store.open_input_file(path) as f:
                     reader = pa.ipc.open_file(f)
+                    if columns is not None:
+                        fields = sorted(reader.schema.get_field_index(c) for c in columns)
+                        reader = pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=fields))
                     for i in range(reader.num_record_batches):
                         got = reader.get_batch(i)
-                        columns = [c.cast(pa.decimal128(20, 0)) if c.type == pa.uint64() else c for c in got.columns]
-                        yield pa.RecordBatch.from_arrays(columns, names=got.schema.names)
+                        names = got.schema.names if columns is None else columns
+                        loaded = [got.column(c) for c in names]
+                        yield pa.RecordBatch.from_arrays([c.cast(pa.decimal128(20, 0)) if c.type == pa.uint64() else c for c in loaded], names=names)
 
     return rows.mapInArrow(run, schema)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import copy
 import datetime
+import threading
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import IntEnum
 from functools import reduce
@@ -33,6 +35,10 @@ COMPACTED = 1 << 30
 MAX_FILTERED = 1 << 26
 
 
+class EmptyBatch(ValueError):
+    pass
+
+
 class Tier(IntEnum):
     """How durable an acknowledged write is."""
 
@@ -158,7 +164,7 @@ class Table:
             seg = self._stage(batch)
             if not seg["rows"]:
                 self.files.delete(seg["path"])
-                raise ValueError("an empty batch can't be appended")
+                raise EmptyBatch("an empty batch can't be appended")
             lsn = self._commit(lambda lsn, seg_id: {"kind": "append", "segments": [self._numbered(seg, seg_id, lsn)]}, idempotency_key, [seg])
         return [Ack(lsn, tier, time.time_ns() // 1000) for tier in (Tier.MEMORY, Tier.DISK)]
 
@@ -448,3 +454,45 @@ class Table:
         s = self.log.refresh()
         return Watermarks(s.next, s.flushed, s.committed, max(0, s.next - s.flushed), max(0, s.flushed - s.committed))
 
+    def reached(self, lsn: int) -> Tier | None:
+        """How durable an LSN is by now; None if it is not in the log. On a local file system nothing reaches an object store."""
+        state = self.log.refresh()
+        if lsn > state.commit:
+            return None
+        if lsn <= state.committed:
+            return Tier.COMMITTED
+        return Tier.DISK if self.files.local else Tier.OBJECT_STORAGE
+
+    def wait(self, lsn: int, tier: Tier, timeout: float, every: float = 0.1) -> bool:
+        """Waits until an LSN has reached a tier; whether it has."""
+        end = time.monotonic() + timeout
+        while True:
+            now = self.reached(lsn)
+            if now is not None and now >= tier:
+                return True
+            if time.monotonic() >= end:
+                return False
+            time.sleep(every)
+
+    def subscribe(self, told: Callable[[Watermarks], None], every: float = 0.1) -> Callable[[], None]:
+        """Calls `told` with the watermarks now and whenever they have moved, whoever writes; returns what ends the subscription."""
+        stop, own = threading.Event(), copy.copy(self)
+        own.log = Log(self.files, self.log.folder, self.log.grace)
+
+        def watch() -> None:
+            last = None
+            while not stop.is_set():
+                now = own.watermarks()
+                if now != last:
+                    last = now
+                    told(now)
+                stop.wait(every)
+
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+
+        def end() -> None:
+            stop.set()
+            thread.join()
+
+        return end

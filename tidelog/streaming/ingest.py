@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidelog.operators.buffer import BufferConfig
-from tidelog.sources.table import Ack, Table, Tier
+from tidelog.sources.table import Ack, EmptyBatch, Table, Tier
 
 
 def file_stream(spark: SparkSession, path: str, schema, config: BufferConfig | None = None, files: int | None = None) -> DataFrame:
@@ -24,16 +24,42 @@ def write_stream(stream: DataFrame, table: Table, checkpoint: str, config: Buffe
     """Appends every micro-batch to the table. A batch that is run again after a failure is recognised by its number and
     not appended twice, so rows arrive exactly once. Empty micro-batches take no LSN."""
     def commit(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            for ack in table.append(batch, idempotency_key=f"{checkpoint}#{number}"):
-                if on_ack:
-                    on_ack(ack)
+        try:
+            acks = table.append(batch, idempotency_key=f"{checkpoint}#{number}")
+        except EmptyBatch:
+            return
+        for ack in acks if on_ack else ():
+            on_ack(ack)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit)
     wait = (config or BufferConfig()).interval_ms
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{wait} milliseconds")).start()
 
 
+class Progress(StreamingQueryListener):
+    """What the streams of a session have done: by query, micro-batches, rows, and the last error."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.errors: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.batches.setdefault(str(event.id), 0)
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.batches[key] = self.batches.get(key, 0) + 1
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.errors[str(event.id)] = event.exception
+
+
 def windowed_counts(stream: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
     """Rows by window of event time and keys; rows later than `late` are dropped."""
     at = stream.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", late)

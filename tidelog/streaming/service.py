@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.functions import schema as schemas
 from tidelog.functions.partition import PartitionSpec
@@ -65,6 +66,10 @@ class Service:
     def get_schema(self, table: str) -> str:
         return schemas.to_json(self.catalog.get_metadata(table).schema)
 
+    def get_schema_ipc(self, table: str) -> bytes:
+        """The table's schema as an Arrow IPC message."""
+        return to_arrow_schema(self.catalog.get_metadata(table).schema).serialize().to_pybytes()
+
     def do_get(self, sql: str) -> pa.Table:
         """The result of a query over the catalog's tables."""
         return self.catalog.sql(sql).toArrow()
