@@ -70,6 +70,27 @@ def test_stars_link_as_brute_force(n, spread):
     assert len(set(zip(mine, true, strict=True))) == len(set(mine)) == len(set(true))
 
 
+def test_any_number_of_blocks_gives_the_same_components(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = centre[rng.integers(0, 40, 600)]
+    for _ in range(3):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    fps = np.unique(fps)
+    classes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    true = brute_components([int(x) for x in fps], list(range(len(fps))))
+    want = {}
+    for x, c in zip(fps.view(np.int64).tolist(), true, strict=True):
+        want.setdefault(c, []).append(x)
+    want = sorted(sorted(v) for v in want.values() if len(v) > 1)
+    for m in (5, 6, 7, 8):
+        got = {}
+        for node, root in components(spark, simhash.links(spark, classes, m=m), str(tmp_path / str(m))).collect():
+            got.setdefault(root, []).append(node)
+        assert sorted(sorted(v) for v in got.values()) == want, m
+    assert [simhash.blocks(n) for n in (0, 10**6, 1 << 33, 1 << 39, 1 << 60)] == [5, 5, 5, 6, 8]
+
+
 def test_components_of_a_long_chain_and_a_star(spark, tmp_path):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)]
     found = dict(components(spark, spark.createDataFrame(edges, "u long, v long"), str(tmp_path)).collect())

@@ -3,8 +3,9 @@
 1. A document's fingerprint is the majority vote of the bits of its shingles' XXH64 values.
 2. Equal fingerprints become one class. Classes that may link meet in buckets: of five blocks of bits, two
    fingerprints that differ in at most three bits agree in two at least, so each class goes to the ten buckets
-   named by two blocks and their bits. Buckets with more than TILE classes are split into tiles, every
-   two parts of the bucket meeting in one tile, so that no task gets an unbounded bucket.
+   named by two blocks and their bits. For very many classes there are more blocks (three of six agree, and so on), so that buckets
+   stay small. Buckets with more than TILE classes are split into tiles, every two parts of the bucket meeting in one tile, so
+   that no task gets an unbounded bucket.
 3. Within its bucket a class is searched for in the index: fingerprints sorted by Gray rank, so that
    neighbours share most bits; groups of FAN neighbours get a node which holds the bits that all below it
    share and that no node above holds. A search adds up differences from the root down and leaves a whole
@@ -35,8 +36,8 @@ from tidelog.llm.exact_dedup import located, without
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Widths of the blocks of a fingerprint, from its lowest bit.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Blocks of a fingerprint. Of so many, all but MAX_BITS agree in two fingerprints that link. More blocks make narrower buckets and more of them.
+BLOCKS = 5
 FAN = 16
 TILE = 4096
 #: Groups up to this size are searched together, larger ones in blocks of queries.
@@ -238,14 +239,28 @@ def dealt(spark: SparkSession, rows: DataFrame, by: str, tile: int = TILE) -> Da
     return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
 
-def links(spark: SparkSession, classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Stars (u, v) over the distinct fingerprints `fp` of classes that differ in at most MAX_BITS bits."""
-    places = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+def blocks(classes: int) -> int:
+    """How many blocks a fingerprint is cut into, so that a bucket of so many classes has a sixteenth of a tile on average, if eight do."""
+    return next((m for m in range(BLOCKS, 8) if classes >> (64 * (m - MAX_BITS) // m) <= TILE // 16), 8)
+
+
+def bucket_keys(m: int) -> list[Column]:
+    """The buckets of `fp` cut into m blocks: one for every m - MAX_BITS of them, told by their number and bits."""
+    edges = [64 * i // m for i in range(m + 1)]
     keys = []
-    for number, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2)):
-        two = [F.shiftrightunsigned("fp", places[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1)) for i in (a, b)]
-        keys.append(F.lit(number << 26) + F.shiftleft(two[0], 13) + two[1])
-    rows = dealt(spark, classes.select("fp", F.explode(F.array(*keys)).alias("key")), "fp", tile)
+    for number, chosen in enumerate(combinations(range(m), m - MAX_BITS)):
+        key = F.lit(number).cast("long")
+        for i in chosen:
+            width = edges[i + 1] - edges[i]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(key)
+    return keys
+
+
+def links(spark: SparkSession, classes: DataFrame, tile: int = TILE, m: int | None = None) -> DataFrame:
+    """Stars (u, v) over the distinct fingerprints `fp` of classes that differ in at most MAX_BITS bits."""
+    m = blocks(classes.count()) if m is None else m
+    rows = dealt(spark, classes.select("fp", F.explode(F.array(*bucket_keys(m))).alias("key")), "fp", tile)
     return rows.select("key", "tile", "fp").mapInArrow(_link, "u long, v long")
 
 
