@@ -27,7 +27,7 @@ SPACE, LETTER, NUMBER, OTHER, END = range(5)
 MAX_WORDS = 1 << 19
 MAX_IDS = 1 << 23
 #: Bytes of text that are encoded at once, unless one text is longer.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 @cache
