@@ -508,7 +508,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     texts = rows.select("__key", "__text")
     size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART)
-    found = texts.mapInArrow(_scan(parts), "bucket long, kind int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = texts.mapInArrow(_scan(parts), "bucket long, kind int, blob binary").repartitionById(parts, F.col("bucket").cast("int"))
     found = keep(spark, found.mapInArrow(_resolve, "kind int, anchor long, key long, start long, stop long"), f"{path}/segments")
     release(spark)
     wanted = found.filter(F.col("kind").isin(STRINGS, APART)).groupBy("key").agg(F.collect_list(F.struct("kind", "anchor", "start", "stop")).alias("list"))
