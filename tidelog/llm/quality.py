@@ -6,7 +6,8 @@ rate of all hosts by a beta prior fitted to the hosts, and hosts whose shrunk ra
 are refused together with all their documents.
 
 Defined results: a null text counts as empty and so fails (no words); a null host is a host of its own;
-repeated rows count as often as they occur; an empty table gives an empty result.
+repeated rows count as often as they occur; a text of any length is tested whole, in one row's expressions; an empty table gives an
+empty result; columns of the names METRICS are replaced, others are kept if they are asked for.
 """
 
 from __future__ import annotations

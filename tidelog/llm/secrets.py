@@ -10,8 +10,8 @@ Repeated (value, repository, owner) rows are combined before they are shuffled a
 all documents costs no more than others.
 
 Defined results: a null text counts as empty and has no spans; null repositories and owners are not counted,
-and a value without any owner looks live; repeated rows are scanned as they are; an empty table gives an empty
-result.
+and a value without any owner looks live; repeated rows are scanned as they are; a text of any length is scanned whole, alone in its
+slice of a batch; spans that start at one place are ordered by kind; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
