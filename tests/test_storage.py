@@ -500,3 +500,22 @@ def test_durability_is_waited_for_and_told(spark, table):
         time.sleep(0.02)
     end()
     assert seen[-1].committed == 1 and seen[-1].flushed >= 2 and [w.next for w in seen] == sorted(w.next for w in seen)
+
+
+def test_segments_move_to_another_place_and_leftovers_go(spark, table, tmp_path):
+    for k in range(3):
+        table.append(batch(spark, k * 10, 10))
+    table.delete_key(5)
+    (tmp_path / "far").mkdir()
+    assert table.migrate(f"file://{tmp_path}/far", age_seconds=3600) is None
+    assert table.migrate(f"file://{tmp_path}/far") == 5 and table.migrate(f"file://{tmp_path}/far") is None
+    want = [i for i in range(30) if i != 5]
+    for made in (table, Table(spark, table.path, SCHEMA, ["id"])):
+        assert ids(made.snapshot()) == want and ids(made.snapshot(2)) == list(range(20))
+        assert all("/far/" in f for f in made.snapshot().inputFiles() if "/seg-" in f)
+    os.makedirs(f"{table.path}/_staged/dead")
+    assert table.vacuum() == [] and len(table.vacuum(0)) == 4 and folders(table.path, "data") == folders(table.path, "_staged") == []
+    table.append(batch(spark, 90, 1))
+    table.delete_key(12)
+    table.compact()
+    assert ids(table.snapshot()) == [i for i in [*want, 90] if i != 12] and ids(table.snapshot(5)) == want

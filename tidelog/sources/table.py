@@ -362,6 +362,40 @@ class Table:
             return lsn
         raise Conflict("compaction was overtaken again and again")
 
+    # Places
+
+    def migrate(self, root: str, age_seconds: float = 0.0) -> int | None:
+        """Copies segments of some age to another place (an object store, say), from where they are read from then on; the LSN of that.
+        What they were before stays until `vacuum`. None if there is nothing to move."""
+        root, now = root.rstrip("/"), time.time()
+        other = Files(self.spark, root)
+        moved = {}
+        for s in self.log.refresh().segments.values():
+            if now - s["created_at"] >= age_seconds and not s["path"].startswith(f"{root}/"):
+                moved[str(s["seg_id"])] = to = f"{root}/{s['path'].rsplit('/', 1)[1]}"
+                self.files.copy(s["path"], other, to)
+        if not moved:
+            return None
+
+        def make(lsn: int, _: int) -> dict:
+            # What compaction has replaced meanwhile is left where it is.
+            return {"kind": "move", "moved": {k: v for k, v in moved.items() if int(k) in self.log.state.segments}}
+
+        return self._commit(make)
+
+    def vacuum(self, age_seconds: float = 7 * 86400.0) -> list[str]:
+        """Deletes folders that the log does not know, if they are older than that: what writers have left that died, or that moved away."""
+        state = self.log.refresh()
+        known = {s["path"] for s in state.segments.values()} | {r["segment"]["path"] for r in state.retired} | {d["path"] for d in state.deletes}
+        gone = []
+        for part in ("_staged", "data", "_deletes"):
+            for name in self.files.names(f"{self.path}/{part}"):
+                path = f"{self.path}/{part}/{name}"
+                if path not in known and self.files.age(path) >= age_seconds:
+                    self.files.delete(path)
+                    gone.append(path)
+        return gone
+
     # Keys
 
     def _fits(self, values: tuple) -> bool:
