@@ -252,3 +252,14 @@ def test_arrow_files_load_the_wanted_columns_only(spark, tmp_path):
     write_arrow(frame.repartition(2), str(tmp_path / "a"))
     found = read_arrow(spark, str(tmp_path / "a"), columns=["twice", "id"])
     assert found.columns == ["twice", "id"] and sorted(map(tuple, found.collect())) == [(2 * i, i) for i in range(50)]
+
+
+def test_lsn_ranges_over_many_spans(spark):
+    rng = random.Random(4)
+    rows = [(b, rng.randint(0, 9)) for b in sorted(rng.sample(range(20_000), 3000))]
+    want, at = [], 0
+    for b, n in rows:
+        want.append((b, n, at + n, at + 1))
+        at += n
+    got = lsn_ranges(spark.createDataFrame(rows, "batch long, rows long")).select("batch", "rows", "end_lsn", "start_lsn").collect()
+    assert sorted(map(tuple, got)) == want

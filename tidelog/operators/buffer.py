@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MB = 1 << 20
+#: Batches whose rows are summed up together before their LSNs are dealt out.
+SPAN = 1024
 
 
 @dataclass(frozen=True)
@@ -81,12 +83,16 @@ def freeze_plan(batches: DataFrame, config: BufferConfig) -> DataFrame:
 
 
 def lsn_ranges(batches: DataFrame) -> DataFrame:
-    """`batches` (batch, rows) with the inclusive range of LSNs that numbering their rows would take. One row a batch of the log, so
-    a running sum in one task."""
-    from pyspark.sql import Window
+    """`batches` (batch, rows) with the inclusive range of LSNs that numbering their rows would take.
 
-    end = F.sum("rows").over(Window.orderBy("batch"))
-    return batches.withColumn("end_lsn", end.cast("long")).withColumn("start_lsn", (F.col("end_lsn") - F.col("rows") + 1).cast("long"))
+    A running sum in two steps: over spans of SPAN batch numbers, of which there are few, and within each span.
+    """
+    rows = batches.withColumn("__span", F.floor(F.col("batch") / F.lit(SPAN)))
+    spans = rows.groupBy("__span").agg(F.sum("rows").alias("__all"))
+    spans = spans.select("__span", (F.sum("__all").over(Window.orderBy("__span")) - F.col("__all")).alias("__before"))
+    end = F.col("__before") + F.sum("rows").over(Window.partitionBy("__span").orderBy("batch"))
+    found = rows.join(spans, "__span").withColumn("end_lsn", end.cast("long"))
+    return found.withColumn("start_lsn", (F.col("end_lsn") - F.col("rows") + 1).cast("long")).drop("__span", "__before")
 
 
 def lag(next_lsn: int, flushed: int, committed: int) -> tuple[int, int]:

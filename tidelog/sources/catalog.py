@@ -149,7 +149,8 @@ class Catalog:
         key = self._name(name)
         if key not in self.tables:
             m = self.entries[key]
-            self.tables[key] = Table(self.spark, m.location, m.schema, m.primary_key, m.kind.config().durability)
+            config = m.kind.config()
+            self.tables[key] = Table(self.spark, m.location, m.schema, m.primary_key, config.durability, config.indexed)
         return self.tables[key]
 
     def list_tables(self) -> list[str]:

@@ -68,9 +68,9 @@ class Watermarks:
 class Table:
     """One batch is one LSN and one segment. Readers see whole log entries only."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, primary_key: list[str] | None = None, durability: str = "Durable") -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, primary_key: list[str] | None = None, durability: str = "Durable", indexed: bool = True) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.primary_key, self.durability = list(primary_key or []), durability
+        self.primary_key, self.durability, self.indexed = list(primary_key or []), durability, indexed
         self.files = Files(spark, self.path)
         self.log = Log(self.files, f"{self.path}/_log")
         self._filter: tuple[int, KeyFilter] | None = None
@@ -99,7 +99,7 @@ class Table:
         seen = Observation()
         rows = rows.observe(seen, absent, *S.ranges(rows.schema), *S.bounds(rows.schema))
         writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", "true")
-        for key in self.primary_key:
+        for key in self.primary_key if self.indexed else ():
             # Lookups skip row groups by these.
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
         try:
