@@ -62,9 +62,10 @@ def test_ownership_tells_examples_from_live_secrets(spark, tmp_path):
         assert (by[r[0]].n_assign, by[r[0]].n_access, by[r[0]].n_hex) == tuple(b.count(f"{k}:") for k in ("assign", "access", "hex"))
 
 
-def test_redaction(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_redaction(spark, most):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, source string, lang string, found int")
-    got = redact(spark, docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    got = redact(spark, docs, F.concat_ws("/", "source", "lang"), F.col("source"), most=most)
     assert got.columns == docs.columns
     by = {r.doc_id: r.text for r in got.collect()}
     assert by[2] == "mine [secret] é" and by[3] == "[secret]" and by[None] is None and by[1] == ""

@@ -39,6 +39,8 @@ MORE = {
     "vendor": ((b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat_", b"glpat-", b"xox", b"k_live_"), re.compile(rb"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,})")),
 }
 WORDS = re.compile(rb"passw|secret|token|api_?key", re.I)
+#: Live-looking values, with their texts' numbers, that are broadcast (some 50 bytes each), so that no text is shuffled; more are joined.
+BROADCAST_LIVE = 200_000
 #: Distinct owners from which a value counts as a copied example.
 EXAMPLE_OWNERS = 3
 
@@ -96,7 +98,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, carried: dict[str, Column], repo: Column, owner: Column, text: str = "text") -> DataFrame:
+def scan_secrets(spark: SparkSession, docs: DataFrame, carried: dict[str, Column], repo: Column, owner: Column, text: str = "text", most: int = BROADCAST_LIVE) -> DataFrame:
     """The carried columns, `found`, and `live`: the values in the text that look live, null if there is no span."""
     path = shared_dir(spark)
     found = scan(docs, text, {**carried, "__key": F.monotonically_increasing_id(), "__repo": repo.cast("string"), "__owner": owner.cast("string")})
@@ -104,7 +106,9 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, carried: dict[str, Column
     owned = keep(spark, ownership(found), f"{path}/owned")
     live = owned.filter(F.col("owners") < EXAMPLE_OWNERS).select("value")
     hits = found.filter(F.size("found") > 0).select("__key", F.explode(F.array_distinct("found.value")).alias("value"))
-    live = hits.join(live, "value").groupBy("__key").agg(F.collect_list("value").alias("live"))
+    live = keep(spark, hits.join(live, "value").groupBy("__key").agg(F.collect_list("value").alias("live")), f"{path}/live")
+    if (live.agg(F.sum(F.size("live"))).first()[0] or 0) <= most:
+        live = F.broadcast(live)
     return found.join(live, "__key", "left").drop("__key", "__repo", "__owner")
 
 
@@ -126,13 +130,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(spark: SparkSession, docs: DataFrame, repo: Column, owner: Column, text: str = "text", mask: str = "[secret]") -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, repo: Column, owner: Column, text: str = "text", mask: str = "[secret]", most: int = BROADCAST_LIVE) -> DataFrame:
     """`docs`, every live-looking span in its text replaced by `mask`; copied examples stay. Overlapping spans are
     replaced once, over their union."""
     names = docs.columns
     # Aliased apart, since the columns may have any names.
     carried = {f"c{i}": F.col(f"`{n}`") for i, n in enumerate(names)}
-    rows = scan_secrets(spark, docs, carried, repo, owner, text)
+    rows = scan_secrets(spark, docs, carried, repo, owner, text, most)
     body = f"c{names.index(text)}"
     live = F.coalesce("live", F.array().cast("array<binary>"))
     spans = F.filter("found", lambda s: F.array_contains(live, s["value"]))
