@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import cache
 
 import numpy as np
@@ -97,6 +98,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Gives memory that this worker's allocators hold unused back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other libraries than glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `limit` bytes of text, so that memory stays bounded.
 
@@ -111,6 +119,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import powers
-from tidelog.llm.common import documents, keep, ragged, release, shared_dir, slices, utf8
+from tidelog.llm.common import documents, keep, ragged, release, shared_dir, slices, trim, utf8
 from tidelog.llm.exact_dedup import located
 
 LENGTH = 100
@@ -287,6 +287,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 own[1 if kind == RANGES else 2].append(np.frombuffer(raw, "<i8").reshape(3, -1))
     yield from out(*own)
+    trim()
 
 
 def repeated(texts: np.ndarray, ends: np.ndarray, length: int = LENGTH, start: int = START) -> tuple[np.ndarray, np.ndarray]:
