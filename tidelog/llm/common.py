@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -70,9 +72,18 @@ def _clean() -> None:
 def keep(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
     """`frame` written once as Parquet in the shared folder and read back.
 
-    This cuts the lineage: an executor that is lost later costs no recomputation of what came before.
+    This cuts the lineage: an executor that is lost later costs no recomputation of what came before. While it is written,
+    Arrow batches are small: workers cut them up anyway, and an executor holds several at a time.
     """
-    frame.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(8 << 20))
+    try:
+        frame.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -26,6 +26,8 @@ from tidelog.llm.common import documents, keep, shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Micro-batches that a finite input is cut into.
 BATCHES = 4
+#: Megabytes that the state stores of an executor take outside the heap.
+STATE_MB = 128
 #: Digests with hits, and places of dropped rows, that are broadcast (up to some 200 bytes each); more of them are joined.
 BROADCAST_ROWS = 200_000
 
@@ -59,6 +61,9 @@ def registry(spark: SparkSession, keys: DataFrame, path: str, batches: int = BAT
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # A store reserves megabytes ahead otherwise, whatever it holds.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # All stores of an executor share so much memory outside the heap; what is beyond lies on disk.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
     files = max(1, -(-len(keys.inputFiles()) // batches))
     stream = session.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/keys")
 
