@@ -120,6 +120,41 @@ def test_as_brute_force(spark, tmp_path, monkeypatch, tile, most, share, shape):
     assert len(got - want) <= 0.02 * (len(rows) - len(want)), "rows that should go stay"
 
 
+def barely(rng, n):
+    """n texts and, of each, a copy that is just similar enough."""
+    out = []
+    for _ in range(n):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(94, 104))]
+        copy = list(text)
+        for at in (rng.randint(5, 40), rng.randint(50, 85)):
+            copy[at] = "other"
+        out += [" ".join(text), " ".join(copy)]
+    return out
+
+
+@pytest.mark.parametrize("shape, tile, most", [(N.shape(1000), 4096, 1000), (N.shape(10**6), 4096, 1000), (N.shape(1 << 24), 16, 0), ((32, 4), 4096, 1000)])
+def test_the_number_of_texts_does_not_change_the_result(spark, tmp_path, monkeypatch, shape, tile, most):
+    monkeypatch.setattr(N, "shape", lambda n: shape)
+    rng = random.Random(22)
+    texts = corpus(rng, 150, 0.8) + barely(rng, 300) + [None, "", "a b", "a  B", "one line again " * 40, "one line again " * 41]
+    ids = rng.sample(range(1000), len(texts))
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id for r in N.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "d")), tile=tile, most=most).collect()}
+    assert got == {ids[i] for i in kept(texts, ids)}
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(23)
+    for _ in range(2000):
+        rank = np.zeros(N.SLOTS, np.int32)
+        rank[rng.integers(0, N.SLOTS, 1000)] = 1
+        both, more, less = rng.integers(1, 60), rng.integers(0, 9), rng.integers(0, 9)
+        hashes = rng.integers(0, 2**63, both + more + less, dtype=np.uint64)
+        rank[N._slot(hashes[rng.random(len(hashes)) < 0.5])] = 2
+        one, two = np.sort(hashes[: both + more]), np.sort(np.r_[hashes[:both], hashes[both + more :]])
+        assert not N.similar(one, two) or len(np.intersect1d(N.prefix(one, rank), N.prefix(two, rank)))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.drop_near_copies(spark, empty).count() == 0

@@ -1,14 +1,18 @@
 """Near copies at a similarity of shingle sets, by wide SimHash fingerprints in the Gray-order index and an exact check.
 
-Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is SIMILARITY at least. Their fingerprints
-then differ in about 15 of 100 bits, so 64 bits with three that may differ would miss most of them. Hence:
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is SIMILARITY at least; a group is what such pairs
+join. Which pairs are found does not depend on the number of texts, nor on what else is in the table: the fingerprints find most of them, and
+steps 5 and 6 find all the others.
 
-1. A fingerprint has 256 bits or more (`shape`: as many as the number of texts asks for). Texts of one fingerprint are a class.
+1. A fingerprint has 256 bits or more (`shape`: as many as the number of texts asks for). Texts of one set of shingles (128-bit digest) are a class.
 2. Classes meet in buckets, each named by a window of a fingerprint's bits; windows start at every STRIDE bits, as in a ring. Two near copies
    agree in one window at least with a probability of 0.98 (similarity 0.8, measured at 256 bits) to 1. Large buckets are tiled.
 3. In a bucket, the index (simhash.GrayIndex) finds who differs in few bits, at LEVELS of rising distance, and leaves groups of what is joined
    already. Only the links that join two parts of the bucket come out, nearest first: a forest, no pairs.
-4. Each link is checked by the texts' own sets. The components of the links that hold are the groups.
+4. Each link is checked by the texts' own sets. What the links that hold join has one root.
+5. All shingles have one order, the rare ones first. Two near copies share a shingle among the first fifth (and one) of each of their sets, so classes
+   meet at these shingles, and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
+6. These pairs are checked like the links; those that hold join roots. The order sets costs alone: any order gives the same groups.
 
 Defined results: a null text counts as empty; words are as in simhash; a text of less than five words is one shingle, texts without a
 word are copies of one another; of a group the row with the smallest doc_id stays (a null doc_id before all others), then the first by file and
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keep, shared_dir, slices, trim, utf8
+from tidelog.llm.common import keep, ragged, shared_dir, slices, trim, utf8
 from tidelog.llm.components import components
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, located, without
 from tidelog.llm.simhash import BLOCK, SEED, SMALL, TILE, GrayIndex, bits, dealt
@@ -43,6 +47,13 @@ LEVELS = (0.07, 0.11, 0.15, 0.18, 0.22)
 COMPARED = 4
 #: Votes are summed in bytes over so many shingles at once.
 BYTE = 255
+#: Shingles are counted in so many slots, a power of two; so many of the fullest slots come last in the order.
+SLOTS = 1 << 20
+FULLEST = 1 << 16
+#: Pairs of a bucket that are looked at in one go.
+PAIRS = 1 << 20
+#: Rounding of products with the similarity, on the side of looking at more.
+SLACK = 1e-6
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -84,19 +95,61 @@ def wide_print(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def wide_prints(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (__id, __file, __row, __text) to __id, __file, __row and the words w0, w1, ... of the fingerprint."""
+def _hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The sets of the texts in the batch's last column."""
+    data, ends = utf8(batch.column(batch.num_columns - 1))
+    whole = data.tobytes()
+    return [shingles(whole[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__text) to slot, n: how many of the task's sets have a shingle there, where that is well above the mean."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in slices(batches, "__text"):
+        counts += np.bincount(_slot(np.concatenate(_hashes(batch))), minlength=SLOTS)
+    full = np.flatnonzero(counts > 1 + 4 * counts.mean())
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["slot", "n"])
+    trim()
+
+
+def fullest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The fullest slots and how many sets have a shingle there, the least full first."""
+    slots = rows.select("__text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = slots.orderBy(F.desc("n"), "slot").limit(FULLEST).collect()[::-1]
+    return np.array([r.slot for r in found], np.int64), np.array([r.n for r in found], np.int64)
+
+
+def prefix(hashes: np.ndarray, rank: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first of a set's shingles in the order by the rank of their slot, then hash: so many that two similar sets share one of them."""
+    if not len(hashes):
+        return hashes
+    order = np.lexsort((hashes, rank[_slot(hashes)]))
+    return hashes[order[: len(hashes) - math.ceil(least * len(hashes) - SLACK) + 1]]
+
+
+def wide_prints(rows: DataFrame, words: int, slots: np.ndarray) -> DataFrame:
+    """Rows (__id, __file, __row, __text) to __id, __file, __row, the words w0, w1, ... of the fingerprint, the digest d0, d1 of the
+    set, its size and its prefix, `slots` being last in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.zeros(SLOTS, np.int32)
+        rank[slots] = np.arange(1, len(slots) + 1)
         for batch in slices(batches, "__text"):
-            data, ends = utf8(batch.column(3))
-            whole, found = data.tobytes(), np.empty((batch.num_rows, words), np.uint64)
-            for i in range(batch.num_rows):
-                found[i] = wide_print(shingles(whole[ends[i] : ends[i + 1]]), words)
-            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *(f"w{k}" for k in range(words))])
-
-    schema = rows.drop("__text").withColumns({f"w{k}": F.lit(0).cast("long") for k in range(words)}).schema
+            sets = _hashes(batch)
+            found, digest = np.empty((batch.num_rows, words), np.uint64), np.empty((batch.num_rows, 2), np.uint64)
+            for i, own in enumerate(sets):
+                found[i] = wide_print(own, words)
+                digest[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.uint64)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*found.T, *digest.T)]
+            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, rank).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *(f"w{k}" for k in range(words)), "d0", "d1", "size", "prefix"])
+
+    longs = {k: F.lit(0).cast("long") for k in (*(f"w{k}" for k in range(words)), "d0", "d1", "size")}
+    schema = rows.drop("__text").withColumns(longs).withColumn("prefix", F.lit(b"")).schema
     return rows.select("__id", "__file", "__row", "__text").mapInArrow(run, schema)
 
 
@@ -172,32 +225,90 @@ def forest(groups: np.ndarray, fps: np.ndarray, limits: tuple[int, ...]) -> tupl
     return a, b
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches (key, tile, ...) of longs, in order, to the rows of whole buckets, transposed, and the numbers of their buckets."""
+
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows, np.cumsum(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+
+    rest = None
+    for batch in batches:
+        more = np.stack([np.asarray(x) for x in batch.columns])
+        rest = more if rest is None else np.concatenate([rest, more], axis=1)
+        change = np.flatnonzero((rest[0, 1:] != rest[0, :-1]) | (rest[1, 1:] != rest[1, :-1]))
+        if len(change):
+            ready, rest = rest[:, : change[-1] + 1], rest[:, change[-1] + 1 :]
+            yield whole(ready)
+    if rest is not None and rest.shape[1]:
+        yield whole(rest)
+    trim()
+
+
+def _ordered(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
 def _linker(words: int):
     limits = tuple(round(x * 64 * words) for x in LEVELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets (key, tile, node, w0, ...), in order, to links u, v."""
+        for rows, groups in _buckets(batches):
+            a, b = forest(groups, np.ascontiguousarray(rows[3:].T).view(np.uint64), limits)
+            yield _ordered(rows[2, a], rows[2, b])
+
+    return run
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]
-            a, b = forest(np.cumsum(change), np.ascontiguousarray(rows[3:].T).view(np.uint64), limits)
-            u, v = rows[2, a], rows[2, b]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-        rest = np.zeros((3 + words, 0), np.int64)
+def _meeting(large: np.ndarray, inside: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, root, size, prefix) to key, tile (0), node, root, size, place: a row for each shingle of the prefix in a large slot, or not in one."""
+        among = np.full(SLOTS, not inside)
+        among[large] = inside
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([np.asarray(x) for x in batch.columns])], axis=1)
-            change = np.flatnonzero((rest[0, 1:] != rest[0, :-1]) | (rest[1, 1:] != rest[1, :-1]))
-            if len(change):
-                ready, rest = rest[:, : change[-1] + 1], rest[:, change[-1] + 1 :]
-                yield out(ready)
-        if rest.shape[1]:
-            yield out(rest)
-        trim()
+            for start in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(start, 1 << 12)
+                keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
+                counts = np.array([len(x) for x in keys], np.int64)
+                keys = np.concatenate(keys)
+                own = np.flatnonzero(among[_slot(keys)])
+                columns = [keys.view(np.int64), np.zeros(len(keys), np.int64), *(np.repeat(np.asarray(part.column(k)), counts) for k in range(3)), ragged(np.zeros(len(counts), np.int64), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in columns], names=["key", "tile", "node", "root", "size", "place"])
 
     return run
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole buckets (key, tile, node, root, size, place), in order, to the pairs u, v of different roots that may be similar."""
+    for rows, groups in _buckets(batches):
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        mixed = np.minimum.reduceat(rows[3], first) != np.maximum.reduceat(rows[3], first)
+        inside = np.repeat(mixed, np.diff(np.r_[first, len(groups)]))
+        if not inside.any():
+            continue
+        rows, groups = rows[2:, inside], groups[inside]
+        order = np.lexsort((rows[2], groups))
+        (node, root, size, place), groups = rows[:, order], groups[order]
+        # Behind a row come the sets of its bucket that are as large or larger, up to the size that the similarity allows.
+        most = np.floor(size / SIMILARITY + SLACK).astype(np.int64)
+        number = np.cumsum(np.r_[False, groups[1:] != groups[:-1]])
+        scale = int(max(size.max(), most.max())) + 1
+        count = np.searchsorted(number * scale + size, number * scale + most, "right") - np.arange(len(size)) - 1
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(size):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+            a = np.repeat(np.arange(start, stop), count[start:stop])
+            b = ragged(np.arange(start + 1, stop + 1), count[start:stop])
+            # At the first shingle that two sets share, all they share is yet to come in both.
+            left = np.minimum(size[a] - place[a], size[b] - place[b])
+            good = (root[a] != root[b]) & (left >= SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - SLACK)
+            pairs = np.unique(np.sort(np.stack([node[a[good]], node[b[good]]]), axis=0), axis=1)
+            if pairs.shape[1]:
+                yield _ordered(*pairs)
+            start = stop
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, __text) to (node, shingles)."""
     for batch in slices(batches, "__text"):
@@ -224,34 +335,65 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
 
+def holding(spark: SparkSession, rows: DataFrame, classes: DataFrame, found: DataFrame, path: str, most: int) -> DataFrame:
+    """Those of the links `found` (u, v) whose texts are similar."""
+    found = keep(spark, found.distinct(), f"{path}/links")
+    # The texts' sets of both ends of each link.
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    places = keep(spark, classes.join(ends, "node").select("node", "first.__file", "first.__row"), f"{path}/ends")
+    texts = rows.join(F.broadcast(places) if places.count() <= most else places, ["__file", "__row"])
+    sets = keep(spark, texts.select("node", "__text").mapInArrow(_sets, "node long, shingles binary"), f"{path}/sets")
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("two"))
+    checked = found.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_hold, "u long, v long")
+    return keep(spark, checked, f"{path}/checked")
+
+
+def possible(spark: SparkSession, prints: DataFrame, rooted: DataFrame, slots: np.ndarray, sizes: np.ndarray, tile: int) -> DataFrame:
+    """All pairs (u, v) of classes with different roots that may be similar, by the prefixes of their sets."""
+    columns = ["node", "root", "size", "place"]
+    places = rooted.select("node", "root", "first.__file", "first.__row")
+    met = prints.select("__file", "__row", "size", "prefix").join(places, ["__file", "__row"]).select("node", "root", "size", "prefix")
+    large, schema = slots[sizes > tile], "key long, tile long, node long, root long, size long, place long"
+    light = met.mapInArrow(_meeting(large, False), schema).repartition("key").sortWithinPartitions("key")
+    found = light.mapInArrow(_possible, "u long, v long")
+    if len(large):
+        # Of the keys that may have many rows, those with a single root have nothing to compare.
+        heavy = keep(spark, met.mapInArrow(_meeting(large, True), schema).drop("tile"), f"{shared_dir(spark)}/heavy")
+        mixed = heavy.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        heavy = dealt(spark, heavy.join(mixed, "key"), "node", tile)
+        found = found.unionByName(heavy.select("key", "tile", *columns).mapInArrow(_possible, "u long, v long"))
+    return found
+
+
 def near_copies(spark: SparkSession, rows: DataFrame, path: str, tile: int = TILE, most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (__id, __file, __row, __text) to the places (__file, __row) of those that go."""
     width, words = shape(rows.count())
     columns = [f"w{k}" for k in range(words)]
-    prints = keep(spark, wide_prints(rows, words), f"{path}/prints")
-    classes = prints.groupBy(*columns).agg(F.count("*").alias("n"), F.min(F.struct("__id", "__file", "__row")).alias("first"))
+    slots, sizes = fullest(rows)
+    prints = keep(spark, wide_prints(rows, words, slots), f"{path}/prints")
+    each = [F.any_value(w).alias(w) for w in columns]  # equal sets have equal fingerprints
+    classes = prints.groupBy("d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__file", "__row")).alias("first"), *each)
     # The numbers are read back from the table, so they are the same whoever asks.
     classes = keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), f"{path}/classes")
     # All words make windows; the first ones are enough to compare by, so that a row does not grow with the number of windows.
     keyed = classes.select(F.explode(F.array(*windows(width, words))).alias("key"), "node", *columns[:COMPARED])
     found = dealt(spark, keyed, "node", tile).select("key", "tile", "node", *columns[:COMPARED]).mapInArrow(_linker(COMPARED), "u long, v long")
-    found = keep(spark, found.distinct(), f"{path}/links")
+    stars = components(spark, holding(spark, rows, classes, found, f"{path}/near", most), f"{path}/components")
+    rooted = classes.join(stars, "node", "left").select("node", "d0", "d1", "n", "first", F.coalesce("root", "node").alias("root"))
+    rooted = keep(spark, rooted, f"{path}/rooted")
 
-    # The texts' sets of both ends of each link.
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    places = keep(spark, classes.join(ends, "node").select("node", "first.__file", "first.__row"), f"{path}/ends")
-    texts = rows.join(F.broadcast(places) if places.count() <= most else places, ["__file", "__row"])
-    sets = keep(spark, texts.select("node", "__text").mapInArrow(_sets, "node long, shingles binary"), f"{path}/sets")
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("two"))
-    checked = found.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_hold, "u long, v long")
-    stars = components(spark, keep(spark, checked, f"{path}/checked"), f"{path}/components")
+    # What the fingerprints have missed, as links of roots.
+    missed = holding(spark, rows, classes, possible(spark, prints, rooted, slots, sizes, tile), f"{path}/missed", most)
+    root = rooted.select("node", "root")
+    missed = missed.join(root.toDF("u", "one"), "u").join(root.toDF("v", "two"), "v").select(F.col("one").alias("u"), F.col("two").alias("v"))
+    joined = components(spark, missed, f"{path}/joined").toDF("root", "all")
+    rooted = rooted.join(joined, "root", "left").withColumn("root", F.coalesce("all", "root"))
 
     # Only classes of several rows or in a component can have rows that go.
-    busy = classes.join(stars, "node", "left").filter("n > 1 OR root IS NOT NULL").select(*columns, F.coalesce("root", "node").alias("root"), "first")
-    busy = keep(spark, busy, f"{path}/busy")
-    stay = busy.groupBy("root").agg(F.min("first").alias("stay"))
-    member = prints.join(busy.drop("first"), columns).join(stay, "root")
+    groups = rooted.groupBy("root").agg(F.min("first").alias("stay"), F.sum("n").alias("all")).filter(F.col("all") > 1).select("root", "stay")
+    busy = keep(spark, rooted.select("d0", "d1", "root").join(groups, "root").select("d0", "d1", "stay"), f"{path}/busy")
+    member = prints.select("d0", "d1", "__file", "__row").join(busy, ["d0", "d1"])
     return member.filter((F.col("__file") != F.col("stay.__file")) | (F.col("__row") != F.col("stay.__row"))).select("__file", "__row")
 
 
