@@ -11,7 +11,7 @@ steps 5 and 6 find all the others.
    already. Only the links that join two parts of the bucket come out, nearest first: a forest, no pairs.
 4. Each link is checked by the texts' own sets. What the links that hold join has one root.
 5. All shingles have one order, the rare ones first. Two near copies share a shingle among the first fifth (and one) of each of their sets, so classes
-   meet at these shingles, and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
+   meet at these shingles (those that one set alone has there go first), and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
 6. These pairs are checked like the links; those that hold join roots. The order sets costs alone: any order gives the same groups.
 
 Defined results: a null text counts as empty; words are as in simhash; a text of less than five words is one shingle, texts without a
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keep, ragged, shared_dir, slices, trim, utf8
+from tidelog.llm.common import keep, ragged, release, shared_dir, slices, trim, utf8
 from tidelog.llm.components import components
 from tidelog.llm.exact_dedup import BROADCAST_ROWS, located, without
 from tidelog.llm.simhash import BLOCK, SEED, SMALL, TILE, GrayIndex, bits, dealt
@@ -50,6 +50,10 @@ BYTE = 255
 #: Shingles are counted in so many slots, a power of two; so many of the fullest slots come last in the order.
 SLOTS = 1 << 20
 FULLEST = 1 << 16
+#: A shingle in a prefix: its low 40 bits, half the digest of the set, its place in the order (or 65,535). Shingles that are confused are told apart by the check.
+PLACE = np.dtype([("key", "u1", 5), ("set", "<i8"), ("place", "<u2")])
+#: Entries that one part of them has on average.
+ENTRIES = 1 << 20
 #: Pairs of a bucket that are looked at in one go.
 PAIRS = 1 << 20
 #: Rounding of products with the similarity, on the side of looking at more.
@@ -102,6 +106,17 @@ def _hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [shingles(whole[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The low 40 bits, as five bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    full = np.zeros((len(x), 8), np.uint8)
+    full[:, :5] = x
+    return full.view("<i8")[:, 0]
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -116,11 +131,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def fullest(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The fullest slots and how many sets have a shingle there, the least full first."""
+def fullest(rows: DataFrame) -> np.ndarray:
+    """The slots that most sets have a shingle in, the least full first."""
     slots = rows.select("__text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = slots.orderBy(F.desc("n"), "slot").limit(FULLEST).collect()[::-1]
-    return np.array([r.slot for r in found], np.int64), np.array([r.n for r in found], np.int64)
+    return np.array([r.slot for r in found], np.int64)
 
 
 def prefix(hashes: np.ndarray, rank: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -131,25 +146,24 @@ def prefix(hashes: np.ndarray, rank: np.ndarray, least: float = SIMILARITY) -> n
     return hashes[order[: len(hashes) - math.ceil(least * len(hashes) - SLACK) + 1]]
 
 
-def wide_prints(rows: DataFrame, words: int, slots: np.ndarray) -> DataFrame:
-    """Rows (__id, __file, __row, __text) to __id, __file, __row, the words w0, w1, ... of the fingerprint, the digest d0, d1 of the
-    set, its size and its prefix, `slots` being last in the order."""
+def _digest(hashes: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.uint64)
+
+
+def wide_prints(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (__id, __file, __row, __text) to __id, __file, __row, the words w0, w1, ... of the fingerprint, the digest d0, d1 of the set
+    and its size."""
+    names = [*(f"w{k}" for k in range(words)), "d0", "d1", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(SLOTS, np.int32)
-        rank[slots] = np.arange(1, len(slots) + 1)
         for batch in slices(batches, "__text"):
-            sets = _hashes(batch)
-            found, digest = np.empty((batch.num_rows, words), np.uint64), np.empty((batch.num_rows, 2), np.uint64)
-            for i, own in enumerate(sets):
-                found[i] = wide_print(own, words)
-                digest[i] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.uint64)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*found.T, *digest.T)]
-            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, rank).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *(f"w{k}" for k in range(words)), "d0", "d1", "size", "prefix"])
-
-    longs = {k: F.lit(0).cast("long") for k in (*(f"w{k}" for k in range(words)), "d0", "d1", "size")}
-    schema = rows.drop("__text").withColumns(longs).withColumn("prefix", F.lit(b"")).schema
+            found = np.empty((batch.num_rows, words + 3), np.uint64)
+            for i, own in enumerate(_hashes(batch)):
+                found[i, :words], found[i, words:-1], found[i, -1] = wide_print(own, words), _digest(own), len(own)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *names])
+
+    schema = rows.drop("__text").withColumns({k: F.lit(0).cast("long") for k in names}).schema
     return rows.select("__id", "__file", "__row", "__text").mapInArrow(run, schema)
 
 
@@ -260,20 +274,58 @@ def _linker(words: int):
     return run
 
 
-def _meeting(large: np.ndarray, inside: bool):
+def _dealer(slots: np.ndarray, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(__text) to part, entries: the shingles of the prefixes, dealt out by a hash of them, as PLACE."""
+        rank = np.zeros(SLOTS, np.int32)
+        rank[slots] = np.arange(1, len(slots) + 1)
+        for batch in slices(batches, "__text"):
+            found, owner = [], []
+            for own in _hashes(batch):
+                found.append(prefix(own, rank))
+                owner.append(_digest(own)[0])
+            counts = np.array([len(x) for x in found], np.int64)
+            keys = np.concatenate(found)
+            entries = np.empty(len(keys), PLACE)
+            entries["key"] = _short(keys)
+            entries["set"] = np.repeat(np.array(owner, np.uint64).view(np.int64), counts)
+            entries["place"] = np.minimum(ragged(np.zeros(len(counts), np.int64), counts), 0xFFFF)
+            part = ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            entries, part = entries[order], part[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+            blobs = [x.tobytes() for x in np.split(entries, first[1:])] if len(first) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+    return run
+
+
+def _shared(parts: int):
+    def out(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        entries = np.frombuffer(b"".join(blobs), PLACE)
+        keys, owner, place = _long(entries["key"]), entries["set"].copy(), entries["place"].astype(np.int64)
+        order = np.lexsort((place, owner, keys))
+        keys, owner, place = keys[order], owner[order], place[order]
+        # Of a set's copies, one is enough; keys of one set go.
+        once = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]
+        keys, owner, place = keys[once], owner[once], place[once]
+        same = keys[1:] == keys[:-1]
+        good = np.r_[False, same] | np.r_[same, False]
+        return pa.RecordBatch.from_arrays([pa.array(keys[good] * parts + part), pa.array(owner[good]), pa.array(place[good])], names=["key", "set", "place"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, root, size, prefix) to key, tile (0), node, root, size, place: a row for each shingle of the prefix in a large slot, or not in one."""
-        among = np.full(SLOTS, not inside)
-        among[large] = inside
+        """(part, entries), in order, to key, set, place: the entries of shingles that several sets have in their prefixes."""
+        now, blobs = None, []
         for batch in batches:
-            for start in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(start, 1 << 12)
-                keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
-                counts = np.array([len(x) for x in keys], np.int64)
-                keys = np.concatenate(keys)
-                own = np.flatnonzero(among[_slot(keys)])
-                columns = [keys.view(np.int64), np.zeros(len(keys), np.int64), *(np.repeat(np.asarray(part.column(k)), counts) for k in range(3)), ragged(np.zeros(len(counts), np.int64), counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in columns], names=["key", "tile", "node", "root", "size", "place"])
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and blobs:
+                    yield out(now, blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob)
+        if blobs:
+            yield out(now, blobs)
+        trim()
 
     return run
 
@@ -349,42 +401,45 @@ def holding(spark: SparkSession, rows: DataFrame, classes: DataFrame, found: Dat
     return keep(spark, checked, f"{path}/checked")
 
 
-def possible(spark: SparkSession, prints: DataFrame, rooted: DataFrame, slots: np.ndarray, sizes: np.ndarray, tile: int) -> DataFrame:
+def possible(spark: SparkSession, rows: DataFrame, rooted: DataFrame, path: str, tile: int) -> DataFrame:
     """All pairs (u, v) of classes with different roots that may be similar, by the prefixes of their sets."""
-    columns = ["node", "root", "size", "place"]
-    places = rooted.select("node", "root", "first.__file", "first.__row")
-    met = prints.select("__file", "__row", "size", "prefix").join(places, ["__file", "__row"]).select("node", "root", "size", "prefix")
-    large, schema = slots[sizes > tile], "key long, tile long, node long, root long, size long, place long"
-    light = met.mapInArrow(_meeting(large, False), schema).repartition("key").sortWithinPartitions("key")
-    found = light.mapInArrow(_possible, "u long, v long")
-    if len(large):
-        # Of the keys that may have many rows, those with a single root have nothing to compare.
-        heavy = keep(spark, met.mapInArrow(_meeting(large, True), schema).drop("tile"), f"{shared_dir(spark)}/heavy")
-        mixed = heavy.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        heavy = dealt(spark, heavy.join(mixed, "key"), "node", tile)
-        found = found.unionByName(heavy.select("key", "tile", *columns).mapInArrow(_possible, "u long, v long"))
-    return found
+    parts = max(16, math.ceil((1 - SIMILARITY) * (rooted.agg(F.sum("size")).first()[0] or 0) / ENTRIES))
+    dealt_out = rows.select("__text").mapInArrow(_dealer(fullest(rows), parts), "part long, entries binary")
+    shared = dealt_out.repartition("part").sortWithinPartitions("part").mapInArrow(_shared(parts), "key long, set long, place long")
+    shared = keep(spark, shared, f"{path}/shared")
+    owner = rooted.select(F.col("d0").alias("set"), "node", "root", "size")
+    met = keep(spark, shared.join(owner, "set").select("key", "node", "root", "size", "place"), f"{path}/met")
+    # Keys with a single root have nothing to compare.
+    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    met = dealt(spark, met.join(mixed, "key"), "node", tile)
+    return met.select("key", "tile", "node", "root", "size", "place").mapInArrow(_possible, "u long, v long")
+
+
+def _near(spark: SparkSession, rows: DataFrame, classes: DataFrame, width: int, words: int, path: str, tile: int, most: int) -> DataFrame:
+    """The classes with the root of what the fingerprints find."""
+    # All words make windows; the first ones are enough to compare by, so that a row does not grow with the number of windows.
+    columns = [f"w{k}" for k in range(COMPARED)]
+    keyed = classes.select(F.explode(F.array(*windows(width, words))).alias("key"), "node", *columns)
+    found = dealt(spark, keyed, "node", tile).select("key", "tile", "node", *columns).mapInArrow(_linker(COMPARED), "u long, v long")
+    stars = components(spark, holding(spark, rows, classes, found, f"{path}/near", most), f"{path}/components")
+    rooted = classes.join(stars, "node", "left").select("node", "d0", "d1", "n", "size", "first", F.coalesce("root", "node").alias("root"))
+    return keep(spark, rooted, f"{path}/rooted")
 
 
 def near_copies(spark: SparkSession, rows: DataFrame, path: str, tile: int = TILE, most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (__id, __file, __row, __text) to the places (__file, __row) of those that go."""
     width, words = shape(rows.count())
     columns = [f"w{k}" for k in range(words)]
-    slots, sizes = fullest(rows)
-    prints = keep(spark, wide_prints(rows, words, slots), f"{path}/prints")
-    each = [F.any_value(w).alias(w) for w in columns]  # equal sets have equal fingerprints
+    prints = keep(spark, wide_prints(rows, words), f"{path}/prints")
+    each = [F.any_value(w).alias(w) for w in (*columns, "size")]  # equal sets have equal fingerprints
     classes = prints.groupBy("d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__file", "__row")).alias("first"), *each)
     # The numbers are read back from the table, so they are the same whoever asks.
     classes = keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), f"{path}/classes")
-    # All words make windows; the first ones are enough to compare by, so that a row does not grow with the number of windows.
-    keyed = classes.select(F.explode(F.array(*windows(width, words))).alias("key"), "node", *columns[:COMPARED])
-    found = dealt(spark, keyed, "node", tile).select("key", "tile", "node", *columns[:COMPARED]).mapInArrow(_linker(COMPARED), "u long, v long")
-    stars = components(spark, holding(spark, rows, classes, found, f"{path}/near", most), f"{path}/components")
-    rooted = classes.join(stars, "node", "left").select("node", "d0", "d1", "n", "first", F.coalesce("root", "node").alias("root"))
-    rooted = keep(spark, rooted, f"{path}/rooted")
+    rooted = _near(spark, rows, classes, width, words, path, tile, most)
+    release(spark)
 
     # What the fingerprints have missed, as links of roots.
-    missed = holding(spark, rows, classes, possible(spark, prints, rooted, slots, sizes, tile), f"{path}/missed", most)
+    missed = holding(spark, rows, classes, possible(spark, rows, rooted, path, tile), f"{path}/missed", most)
     root = rooted.select("node", "root")
     missed = missed.join(root.toDF("u", "one"), "u").join(root.toDF("v", "two"), "v").select(F.col("one").alias("u"), F.col("two").alias("v"))
     joined = components(spark, missed, f"{path}/joined").toDF("root", "all")
