@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import near_copies as N
@@ -155,6 +156,65 @@ def test_similar_sets_share_a_shingle_of_their_prefixes():
         assert not N.similar(one, two) or len(np.intersect1d(N.prefix(one, rank), N.prefix(two, rank)))
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(24)
+    ruled_out = 0
+    for size in (1, 5, 60, 130, 900, 5000):
+        for _ in range(100):
+            both = int(rng.integers(1, size + 1))
+            more, less = (int(rng.integers(0, max(2, size // 4))) for _ in range(2))
+            hashes = np.unique(rng.integers(0, 2**63, both + more + less, dtype=np.uint64))
+            one, two = np.sort(hashes[: both + more]), np.sort(np.r_[hashes[:both], hashes[both + more :]])
+            may = N.may_hold(np.array([len(one) + len(two)] * 2), [N.sketch(one), N.sketch(two)], [N.sketch(two), N.sketch(one)])
+            assert may[0] == may[1] and (may[0] or not N.similar(one, two))
+            ruled_out += not may[0]
+    assert ruled_out > 100 and not len(N.may_hold(np.zeros(0, np.int64), [], []))
+    assert N.may_hold(np.array([0]), [N.sketch(hashes[:0])], [N.sketch(hashes[:0])]).all()
+
+
+def passages(rng, n, pool):
+    """n texts of some 300 words, each of which has three of the pool's passages of 50 words."""
+    common = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(50)) for _ in range(pool)]
+    out = []
+    for _ in range(n):
+        parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 60))) for _ in range(3)]
+        out.append(" ".join(x for pair in zip(parts, rng.sample(common, 3), strict=True) for x in pair))
+    return out
+
+
+def test_sets_of_texts_that_only_share_passages_are_not_shuffled(spark, tmp_path, monkeypatch):
+    rows = {}
+
+    def keep(spark, frame, path, own=N.keep):
+        out = own(spark, frame, path)
+        rows["/".join(path.rsplit("/", 2)[1:])] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "keep", keep)
+    monkeypatch.setattr(N, "fullest", lambda rows: np.zeros(0, np.int64))  # the passages' shingles do not come last
+    rng = random.Random(25)
+    texts = passages(rng, 200, 12) + barely(rng, 20)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id for r in N.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == kept(texts, range(len(texts)))
+    assert rows["missed/links"] > 1000 and rows["missed/sets"] <= 40, rows
+
+
+def test_common_shingles_are_told_from_rare_ones_however_many_there_are(monkeypatch):
+    monkeypatch.setattr(N, "SLOTS", 64)  # each has far more rare shingles than any common one has sets
+    rng = random.Random(26)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(200)) for _ in range(300)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{x} {passage}" if i % 10 == 0 else x for i, x in enumerate(texts)]
+    for counted in (N.COUNTED, 7000):
+        monkeypatch.setattr(N, "COUNTED", counted)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["__text"])
+        found = [dict(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)) for x in N._counted(iter([batch]))]
+        want = {int(x) for x in N.shingles(passage.encode()).view(np.int64)}
+        assert set().union(*found) == want
+        assert all(sum(x.get(h, 0) for x in found) in ((30,) if counted > 7000 else range(3, 31)) for h in want)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.drop_near_copies(spark, empty).count() == 0

@@ -14,6 +14,10 @@ steps 5 and 6 find all the others.
    meet at these shingles (those that one set alone has there go first), and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
 6. These pairs are checked like the links; those that hold join roots. The order sets costs alone: any order gives the same groups.
 
+Checks go in two steps, so that few sets are shuffled. A class has a sketch, the parities of how many of its shingles fall into each of as many
+slots as it has shingles or up to twice that, a 64th to a 32nd of the set. Two sets differ in a shingle at least for each slot that differs, so sketches
+that differ in more slots than the similarity allows rule a pair out for sure; only the others meet by their sets.
+
 Defined results: a null text counts as empty; words are as in simhash; a text of less than five words is one shingle, texts without a
 word are copies of one another; of a group the row with the smallest doc_id stays (a null doc_id before all others), then the first by file and
 row; repeated rows are one group; a text of any length is read whole; an empty table gives an empty result. All columns are kept;
@@ -47,9 +51,12 @@ LEVELS = (0.07, 0.11, 0.15, 0.18, 0.22)
 COMPARED = 4
 #: Votes are summed in bytes over so many shingles at once.
 BYTE = 255
-#: Shingles are counted in so many slots, a power of two; so many of the fullest slots come last in the order.
+#: Shingles have so many slots in the order, a power of two; those of so many of the commonest shingles come last.
 SLOTS = 1 << 20
-FULLEST = 1 << 16
+COMMON = 1 << 17
+#: Shingles are counted in runs of so many; a run tells of those that OFTEN of its sets have at least.
+COUNTED = 1 << 21
+OFTEN = 3
 #: A shingle in a prefix: its low 40 bits, half the digest of the set, its place in the order (or 65,535). Shingles that are confused are told apart by the check.
 PLACE = np.dtype([("key", "u1", 5), ("set", "<i8"), ("place", "<u2")])
 #: Entries that one part of them has on average.
@@ -122,20 +129,36 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(__text) to slot, n: how many of the task's sets have a shingle there, where that is well above the mean."""
-    counts = np.zeros(SLOTS, np.int64)
+    """(__text) to shingle, n: how many sets of a run have a shingle, where these are OFTEN at least."""
+    run, filled = np.empty(COUNTED, np.uint64), 0
+
+    def often(some: np.ndarray) -> pa.RecordBatch:
+        some.sort()
+        first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+        n = np.diff(np.r_[first, len(some)])
+        first, n = first[n >= OFTEN], n[n >= OFTEN]
+        return pa.RecordBatch.from_arrays([pa.array(some[first].view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
+
     for batch in slices(batches, "__text"):
-        counts += np.bincount(_slot(np.concatenate(_hashes(batch))), minlength=SLOTS)
-    full = np.flatnonzero(counts > 1 + 4 * counts.mean())
-    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["slot", "n"])
+        for own in _hashes(batch):
+            # A set has a shingle once, so parts of a long one may go to different runs.
+            while len(own):
+                part, own = own[: COUNTED - filled], own[COUNTED - filled :]
+                run[filled : filled + len(part)] = part
+                filled += len(part)
+                if filled == COUNTED:
+                    yield often(run)
+                    filled = 0
+    if filled:
+        yield often(run[:filled])
     trim()
 
 
 def fullest(rows: DataFrame) -> np.ndarray:
-    """The slots that most sets have a shingle in, the least full first."""
-    slots = rows.select("__text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = slots.orderBy(F.desc("n"), "slot").limit(FULLEST).collect()[::-1]
-    return np.array([r.slot for r in found], np.int64)
+    """The slots of the shingles that most sets have, the least common first."""
+    counts = rows.select("__text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()
+    return _slot(np.array(found.column(0), np.int64).view(np.uint64))[::-1]
 
 
 def prefix(hashes: np.ndarray, rank: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -150,20 +173,41 @@ def _digest(hashes: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each slot the parity of how many of a set's shingles are in it. Slots are a power of two, 64 or as many as shingles at least."""
+    slots = 1 << max(6, (len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_hold(sizes: np.ndarray, ones: list[bytes], twos: list[bytes], least: float = SIMILARITY) -> np.ndarray:
+    """Which pairs of sketches may be of sets whose similarity is `least` at least; sizes: how many shingles both sets have together."""
+    good = np.zeros(len(sizes), bool)
+    lengths = np.array([[len(x) for x in ones], [len(x) for x in twos]], np.int64).reshape(2, -1)
+    for one, two in np.unique(lengths, axis=1).T.tolist():
+        at = np.flatnonzero((lengths[0] == one) & (lengths[1] == two))
+        words = min(one, two) // 8
+        # A sketch with half the slots is one half of the wider one added to the other, without carry.
+        halves = [np.bitwise_xor.reduce(np.frombuffer(b"".join([x[i] for i in at]), np.uint64).reshape(len(at), -1, words), axis=1) for x in (ones, twos)]
+        good[at] = bits(halves[0] ^ halves[1]) <= (1 - least) / (1 + least) * sizes[at] + SLACK
+    return good
+
+
 def wide_prints(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (__id, __file, __row, __text) to __id, __file, __row, the words w0, w1, ... of the fingerprint, the digest d0, d1 of the set
-    and its size."""
+    """Rows (__id, __file, __row, __text) to __id, __file, __row, the words w0, w1, ... of the fingerprint, the digest d0, d1 of the set,
+    its size and its sketch."""
     names = [*(f"w{k}" for k in range(words)), "d0", "d1", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            found = np.empty((batch.num_rows, words + 3), np.uint64)
+            found, sketches = np.empty((batch.num_rows, words + 3), np.uint64), []
             for i, own in enumerate(_hashes(batch)):
                 found[i, :words], found[i, words:-1], found[i, -1] = wide_print(own, words), _digest(own), len(own)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *names])
+                sketches.append(sketch(own))
+            columns = [*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*batch.schema.names[:3], *names, "sketch"])
 
-    schema = rows.drop("__text").withColumns({k: F.lit(0).cast("long") for k in names}).schema
+    schema = rows.drop("__text").withColumns({k: F.lit(0).cast("long") for k in names} | {"sketch": F.lit(b"")}).schema
     return rows.select("__id", "__file", "__row", "__text").mapInArrow(run, schema)
 
 
@@ -379,6 +423,13 @@ def similar(one: np.ndarray, two: np.ndarray, least: float = SIMILARITY) -> bool
     return both >= least * (len(one) + len(two) - both)
 
 
+def _may_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v, size, one, two), size of both sets together, the last two being sketches, to those that may hold."""
+    for batch in batches:
+        good = may_hold(np.asarray(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist())
+        yield batch.select([0, 1]).take(pa.array(np.flatnonzero(good), pa.int64()))
+
+
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v, one, two), the last two being sets, to those that hold."""
     for batch in batches:
@@ -390,6 +441,10 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def holding(spark: SparkSession, rows: DataFrame, classes: DataFrame, found: DataFrame, path: str, most: int) -> DataFrame:
     """Those of the links `found` (u, v) whose texts are similar."""
     found = keep(spark, found.distinct(), f"{path}/links")
+    one = classes.select(F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("sketch").alias("one"))
+    two = classes.select(F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("sketch").alias("two"))
+    sketched = found.join(one, "u").join(two, "v").select("u", "v", (F.col("size_u") + F.col("size_v")).alias("size"), "one", "two")
+    found = keep(spark, sketched.mapInArrow(_may_hold, "u long, v long"), f"{path}/likely")
     # The texts' sets of both ends of each link.
     ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     places = keep(spark, classes.join(ends, "node").select("node", "first.__file", "first.__row"), f"{path}/ends")
@@ -431,7 +486,7 @@ def near_copies(spark: SparkSession, rows: DataFrame, path: str, tile: int = TIL
     width, words = shape(rows.count())
     columns = [f"w{k}" for k in range(words)]
     prints = keep(spark, wide_prints(rows, words), f"{path}/prints")
-    each = [F.any_value(w).alias(w) for w in (*columns, "size")]  # equal sets have equal fingerprints
+    each = [F.any_value(w).alias(w) for w in (*columns, "size", "sketch")]  # equal sets have equal fingerprints
     classes = prints.groupBy("d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__file", "__row")).alias("first"), *each)
     # The numbers are read back from the table, so they are the same whoever asks.
     classes = keep(spark, classes.withColumn("node", F.monotonically_increasing_id()), f"{path}/classes")
