@@ -11,7 +11,7 @@ steps 5 and 6 find all the others.
    already. Only the links that join two parts of the bucket come out, nearest first: a forest, no pairs.
 4. Each link is checked by the texts' own sets. What the links that hold join has one root.
 5. All shingles have one order, the rare ones first. Two near copies share a shingle among the first fifth (and one) of each of their sets, so classes
-   meet at these shingles (those that one set alone has there go first), and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
+   meet at these shingles (those that one set alone has there go first; of those that the same sets have, one is enough), and pairs of different roots go on if sizes and places in the order allow the similarity. What has one root is not compared again.
 6. These pairs are checked like the links; those that hold join roots. The order sets costs alone: any order gives the same groups.
 
 Checks go in two steps, so that few sets are shuffled. A class has a sketch, the parities of how many of its shingles fall into each of as many
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import keep, ragged, release, shared_dir, slices, trim, utf8
@@ -52,17 +52,21 @@ COMPARED = 4
 #: Votes are summed in bytes over so many shingles at once.
 BYTE = 255
 #: Shingles have so many slots in the order, a power of two; those of so many of the commonest shingles come last.
-SLOTS = 1 << 20
-COMMON = 1 << 17
+SLOTS = 1 << 22
+COMMON = 1 << 19
 #: Shingles are counted in runs of so many; a run tells of those that OFTEN of its sets have at least.
-COUNTED = 1 << 21
-OFTEN = 3
+COUNTED = 1 << 22
+OFTEN = 2
 #: A shingle in a prefix: its low 40 bits, half the digest of the set, its place in the order (or 65,535). Shingles that are confused are told apart by the check.
 PLACE = np.dtype([("key", "u1", 5), ("set", "<i8"), ("place", "<u2")])
 #: Entries that one part of them has on average.
 ENTRIES = 1 << 20
 #: Pairs of a bucket that are looked at in one go.
 PAIRS = 1 << 20
+#: In buckets of more classes than this, pairs are compared by sketches at once; the others have at most half as many pairs for each row.
+CROWD = 16
+#: Bytes of sketches that are compared in one go.
+COMPARED_BYTES = 4 << 20
 #: Rounding of products with the similarity, on the side of looking at more.
 SLACK = 1e-6
 
@@ -134,8 +138,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def often(some: np.ndarray) -> pa.RecordBatch:
         some.sort()
-        first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-        n = np.diff(np.r_[first, len(some)])
+        same = np.r_[False, some[1:] == some[:-1], False]
+        first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        n = last - first + 1
         first, n = first[n >= OFTEN], n[n >= OFTEN]
         return pa.RecordBatch.from_arrays([pa.array(some[first].view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
 
@@ -158,7 +163,7 @@ def fullest(rows: DataFrame) -> np.ndarray:
     """The slots of the shingles that most sets have, the least common first."""
     counts = rows.select("__text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()
-    return _slot(np.array(found.column(0), np.int64).view(np.uint64))[::-1]
+    return _slot(np.array(found.column(0), np.int64).view(np.uint64))[::-1].astype(np.int32)
 
 
 def prefix(hashes: np.ndarray, rank: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -283,22 +288,28 @@ def forest(groups: np.ndarray, fps: np.ndarray, limits: tuple[int, ...]) -> tupl
     return a, b
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches (key, tile, ...) of longs, in order, to the rows of whole buckets, transposed, and the numbers of their buckets."""
+def _buckets(batches: Iterator[pa.RecordBatch], longs: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches (key, tile, ...) of longs, in order, to the rows of whole buckets, transposed, the numbers of their buckets, and what a
+    column behind so many longs holds."""
 
-    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rows, np.cumsum(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+    def whole(rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return rows, np.cumsum(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]), own
 
-    rest = None
+    rest, held = None, np.empty(0, object)
     for batch in batches:
-        more = np.stack([np.asarray(x) for x in batch.columns])
+        more = np.stack([np.asarray(x) for x in batch.columns[:longs]])
         rest = more if rest is None else np.concatenate([rest, more], axis=1)
+        if longs is not None:
+            own = np.empty(batch.num_rows, object)
+            own[:] = batch.column(longs).to_pylist()
+            held = np.concatenate([held, own])
         change = np.flatnonzero((rest[0, 1:] != rest[0, :-1]) | (rest[1, 1:] != rest[1, :-1]))
         if len(change):
-            ready, rest = rest[:, : change[-1] + 1], rest[:, change[-1] + 1 :]
-            yield whole(ready)
+            at = change[-1] + 1
+            yield whole(rest[:, :at], held[:at])
+            rest, held = rest[:, at:], held[at:]
     if rest is not None and rest.shape[1]:
-        yield whole(rest)
+        yield whole(rest, held)
     trim()
 
 
@@ -311,7 +322,7 @@ def _linker(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets (key, tile, node, w0, ...), in order, to links u, v."""
-        for rows, groups in _buckets(batches):
+        for rows, groups, _ in _buckets(batches):
             a, b = forest(groups, np.ascontiguousarray(rows[3:].T).view(np.uint64), limits)
             yield _ordered(rows[2, a], rows[2, b])
 
@@ -321,8 +332,8 @@ def _linker(words: int):
 def _dealer(slots: np.ndarray, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(__text) to part, entries: the shingles of the prefixes, dealt out by a hash of them, as PLACE."""
-        rank = np.zeros(SLOTS, np.int32)
-        rank[slots] = np.arange(1, len(slots) + 1)
+        rank = np.zeros(SLOTS, np.uint8)
+        rank[slots] = 1 + 255 * np.arange(len(slots)) // max(1, len(slots))
         for batch in slices(batches, "__text"):
             found, owner = [], []
             for own in _hashes(batch):
@@ -375,16 +386,18 @@ def _shared(parts: int):
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets (key, tile, node, root, size, place), in order, to the pairs u, v of different roots that may be similar."""
-    for rows, groups in _buckets(batches):
+    """Whole buckets (key, tile, node, root, size, place, sketch), in order, to the pairs u, v of different roots that may be similar."""
+    for rows, groups, sketches in _buckets(batches, 6):
         first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
         mixed = np.minimum.reduceat(rows[3], first) != np.maximum.reduceat(rows[3], first)
         inside = np.repeat(mixed, np.diff(np.r_[first, len(groups)]))
         if not inside.any():
             continue
-        rows, groups = rows[2:, inside], groups[inside]
+        rows, groups, sketches = rows[2:, inside], groups[inside], sketches[inside]
         order = np.lexsort((rows[2], groups))
-        (node, root, size, place), groups = rows[:, order], groups[order]
+        (node, root, size, place), groups, sketches = rows[:, order], groups[order], sketches[order]
+        crowd = np.array([x is not None for x in sketches], bool)
+        widest = max((len(x) for x in sketches[crowd]), default=1)
         # Behind a row come the sets of its bucket that are as large or larger, up to the size that the similarity allows.
         most = np.floor(size / SIMILARITY + SLACK).astype(np.int64)
         number = np.cumsum(np.r_[False, groups[1:] != groups[:-1]])
@@ -399,6 +412,10 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # At the first shingle that two sets share, all they share is yet to come in both.
             left = np.minimum(size[a] - place[a], size[b] - place[b])
             good = (root[a] != root[b]) & (left >= SIMILARITY / (1 + SIMILARITY) * (size[a] + size[b]) - SLACK)
+            at = np.flatnonzero(good & crowd[a])
+            step = max(1, COMPARED_BYTES // widest)
+            for some in np.split(at, np.arange(step, len(at), step)):
+                good[some] = may_hold(size[a[some]] + size[b[some]], sketches[a[some]].tolist(), sketches[b[some]].tolist())
             pairs = np.unique(np.sort(np.stack([node[a[good]], node[b[good]]]), axis=0), axis=1)
             if pairs.shape[1]:
                 yield _ordered(*pairs)
@@ -456,7 +473,7 @@ def holding(spark: SparkSession, rows: DataFrame, classes: DataFrame, found: Dat
     return keep(spark, checked, f"{path}/checked")
 
 
-def possible(spark: SparkSession, rows: DataFrame, rooted: DataFrame, path: str, tile: int) -> DataFrame:
+def possible(spark: SparkSession, rows: DataFrame, rooted: DataFrame, sketches: DataFrame, path: str, tile: int) -> DataFrame:
     """All pairs (u, v) of classes with different roots that may be similar, by the prefixes of their sets."""
     parts = max(16, math.ceil((1 - SIMILARITY) * (rooted.agg(F.sum("size")).first()[0] or 0) / ENTRIES))
     dealt_out = rows.select("__text").mapInArrow(_dealer(fullest(rows), parts), "part long, entries binary")
@@ -464,10 +481,20 @@ def possible(spark: SparkSession, rows: DataFrame, rooted: DataFrame, path: str,
     shared = keep(spark, shared, f"{path}/shared")
     owner = rooted.select(F.col("d0").alias("set"), "node", "root", "size")
     met = keep(spark, shared.join(owner, "set").select("key", "node", "root", "size", "place"), f"{path}/met")
-    # Keys with a single root have nothing to compare.
-    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    met = dealt(spark, met.join(mixed, "key"), "node", tile)
-    return met.select("key", "tile", "node", "root", "size", "place").mapInArrow(_possible, "u long, v long")
+    # Keys with a single root have nothing to compare. Of keys that the same classes have (128-bit digest), as in a passage that they share, one
+    # stands for all, with a class's first place among them: where two sets share it, all they share is yet to come.
+    nodes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *nodes).filter("low <> high")
+    first = F.min("key").over(Window.partitionBy("n", "x0", "x1"))
+    mixed = keep(spark, mixed.select("key", first.alias("first"), (F.col("n") > CROWD).alias("crowd")), f"{path}/mixed")
+    each = [F.any_value(c).alias(c) for c in ("root", "size", "crowd")]
+    met = met.join(mixed, "key").groupBy(F.col("first").alias("key"), "node").agg(F.min("place").alias("place"), *each)
+    met = keep(spark, met, f"{path}/merged")
+    # Only rows of crowded keys get their sketch.
+    few = met.filter("not crowd").withColumn("sketch", F.lit(None).cast("binary"))
+    many = met.filter("crowd").join(sketches, "node")
+    met = dealt(spark, few.unionByName(keep(spark, many, f"{path}/crowded")), "node", tile)
+    return met.select("key", "tile", "node", "root", "size", "place", "sketch").mapInArrow(_possible, "u long, v long")
 
 
 def _near(spark: SparkSession, rows: DataFrame, classes: DataFrame, width: int, words: int, path: str, tile: int, most: int) -> DataFrame:
@@ -494,7 +521,7 @@ def near_copies(spark: SparkSession, rows: DataFrame, path: str, tile: int = TIL
     release(spark)
 
     # What the fingerprints have missed, as links of roots.
-    missed = holding(spark, rows, classes, possible(spark, rows, rooted, path, tile), f"{path}/missed", most)
+    missed = holding(spark, rows, classes, possible(spark, rows, rooted, classes.select("node", "sketch"), path, tile), f"{path}/missed", most)
     root = rooted.select("node", "root")
     missed = missed.join(root.toDF("u", "one"), "u").join(root.toDF("v", "two"), "v").select(F.col("one").alias("u"), F.col("two").alias("v"))
     joined = components(spark, missed, f"{path}/joined").toDF("root", "all")
